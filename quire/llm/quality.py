@@ -169,6 +169,18 @@ def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None) -> D
     return frame.mapInArrow(run, f"{schema}, score double")
 
 
+def accepted(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the classifier accepts, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keep = machine.score([t or "" for t in batch.column("text").to_pylist()]) >= threshold
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, learned outside the held-out fold."""
     scored = score(docs, fit(spark, docs, labels))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, fingerprint, html, packing, quality, secrets, topk, toxicity, urlfilter
+from quire.llm import bpe, fingerprint, html, jaccard, packing, quality, secrets, topk, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +53,16 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_bpe, op4_secrets, op5_fingerprints, op6_topk, op7_quality, op8_html, op10_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_bpe, op4_secrets, op5_fingerprints, op6_topk, op7_quality, op8_html, op9_jaccard_join, op10_packing)}
 
 
 #: DuckDB SQL of the queries that SQL can express.
