@@ -1 +1,6 @@
-"""Part of quire."""
+"""All queries over the library's own operators."""
+
+from quire.plans import corpus_queries, layout_queries, metric_queries, review_queries  # noqa: F401
+from quire.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
