@@ -10,7 +10,8 @@ share an element among the first n - ceil(4n/5) + 1 of either, and l elements am
   5/4 of it do both, so that no pair across it is missed.
 
 A candidate must pass bounds on sizes and places, and is taken from the first list of each run of lists that its two sets share.
-Candidates are verified on whole texts, which are sent in groups around the more wanted set of a pair.
+Those left are told apart by parity bits of the hashes, which bound the difference of two sets from below, and then verified on
+whole texts, which are sent in groups around the more wanted set of a pair.
 
 Large groups of near copies would make all pairs of a list candidates. So links to the least and the greatest set that share one
 of a set's least elements are found first; lists of frequent elements are then scanned only between different components,
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ SAMPLE = 64
 OFTEN = 4
 #: Frequent elements that are broadcast at most: 8 MB.
 HOT = 1 << 20
+#: Parts that the list of a frequent element is dealt to.
+PARTS = 64
 #: Rows of a block of a frequent element's list, and spokes around one copy of a hub.
 BLOCK = 512
 #: The greatest boundary that is considered.
@@ -62,8 +66,25 @@ def _class(hashes: np.ndarray) -> int:
     return int(mix(np.asarray([folded ^ _U(len(hashes))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def _bits(hashes: np.ndarray) -> bytes:
+    """For each residue of the hashes whether an odd number of elements has it. Two sets differ in at least as many elements as their bits."""
+    size = 1 << min(16, max(6, (len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & _U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _may_link(a: bytes, b: bytes, elements: int) -> bool:
+    """False if the bits of two sets, of so many elements together, differ too much for a link. The longer are folded to the shorter."""
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        half = len(a) // 2
+        a = (int.from_bytes(a[:half], "big") ^ int.from_bytes(a[half:], "big")).to_bytes(half, "big")
+    return 9 * (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count() <= elements
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text), n, class, least (the class's LEAST least elements), sample (all elements, of one class in SAMPLE)."""
+    """doc_id, key (a hash of the text), n, class, least (the class's LEAST least elements), bits, sample (all elements, of one class in SAMPLE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -76,12 +97,13 @@ def profiles(docs: DataFrame) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(classes, pa.int64()),
                     pa.array([s[:LEAST].view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    pa.array(map(_bits, sets), pa.binary()),
                     pa.array([s.view(np.int64) if c % SAMPLE == 0 else None for s, c in zip(sets, classes, strict=True)], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "key", "n", "class", "least", "sample"],
+                ["doc_id", "key", "n", "class", "least", "bits", "sample"],
             )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, key long, n long, class long, least array<long>, sample array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, key long, n long, class long, least array<long>, bits binary, sample array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -106,14 +128,17 @@ def boundary(elements: DataFrame, widest: int = WIDEST) -> int:
 
 
 def postings(docs: DataFrame, hot: np.ndarray, light: int) -> DataFrame:
-    """element, class, place (size << 32 | place in the order), before (the element before it) of each set's keys. hot: sorted frequent elements."""
+    """element, class, place (size << 32 | place in the order), before (the element before it), part of each set's keys. hot: sorted frequent elements.
+
+    The lists of frequent elements are dealt to PARTS parts, numbered from 1; the part of all others is 0.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = sent.value
         seen: set[int] = set()  # classes that this task has had: 8 bytes a document
         for batch in slices(batches):
-            keys, classes, places, before = [], [], [], []
+            keys, classes, places, before, parts = [], [], [], [], []
             for s in shingle_hashes([t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]):
                 n = len(s)
                 if not n or (own := _class(s)) in seen:
@@ -122,14 +147,18 @@ def postings(docs: DataFrame, hot: np.ndarray, light: int) -> DataFrame:
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     late = frequent[at] == s
-                    if late.any():
+                    usual = int(n - late.sum())
+                    if usual < n:
                         s = np.concatenate([s[~late], s[late]])
+                else:
+                    usual = n
                 spare = n - -(-4 * n // 5)
                 if n > light:
                     prefix = s[: spare + 1]
                     keys.append(prefix)
                     places.append(np.arange(len(prefix), dtype=np.int64) | (n << 32))
                     before.append(np.concatenate([[_U(own & ((1 << 64) - 1))], prefix[:-1]]))
+                    parts.append(np.where(np.arange(len(prefix)) < usual, 0, 1 + own % PARTS).astype(np.int32))
                     classes.append(np.full(len(prefix), own, dtype=np.int64))
                 if 2 <= n <= light * 5 // 4:
                     i, j = np.triu_indices(min(spare + 2, n), 1)
@@ -138,15 +167,16 @@ def postings(docs: DataFrame, hot: np.ndarray, light: int) -> DataFrame:
                     keys.append(pair)
                     places.append(np.full(len(pair), n << 32, dtype=np.int64))
                     before.append(np.full(len(pair), own & ((1 << 64) - 1), dtype=np.uint64))
+                    parts.append(np.zeros(len(pair), dtype=np.int32))
                     classes.append(np.full(len(pair), own, dtype=np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(classes), pa.int64()), pa.array(np.concatenate(places), pa.int64()), _signed(np.concatenate(before))], ["element", "class", "place", "before"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(classes), pa.int64()), pa.array(np.concatenate(places), pa.int64()), _signed(np.concatenate(before)), pa.array(np.concatenate(parts), pa.int32())], ["element", "class", "place", "before", "part"])
 
-    return _texts(docs).select("text").mapInArrow(run, "element long, class long, place long, before long")
+    return _texts(docs).select("text").mapInArrow(run, "element long, class long, place long, before long, part int")
 
 
-def _pairs(element: np.ndarray, own: np.ndarray, place: np.ndarray, before: np.ndarray, part: np.ndarray | None = None, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The candidates of whole lists, sorted by element and place. With part and group: only between different parts (components), and for two groups only across them."""
+def _pairs(element: np.ndarray, own: np.ndarray, place: np.ndarray, before: np.ndarray, root: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates of whole lists, sorted by element and place. With root and side: only between different components, and only across the two sides."""
     n, at = place >> 32, place & 0xFFFFFFFF
     new = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
     ends = np.repeat(np.append(new[1:], len(element)), np.diff(np.append(new, len(element))))
@@ -162,10 +192,8 @@ def _pairs(element: np.ndarray, own: np.ndarray, place: np.ndarray, before: np.n
         rows, other = rows[near], other[near]
         need = -(-4 * (n[rows] + n[other]) // 9)
         keep = (np.minimum(n[rows] - at[rows], n[other] - at[other]) >= need) & (before[rows] != before[other]) & (own[rows] != own[other])
-        if part is not None:
-            keep &= part[rows] != part[other]
-        if group is not None:
-            keep &= group[rows] != group[other]
+        if root is not None:
+            keep &= (root[rows] != root[other]) & (side[rows] != side[other])
         left.append(own[rows[keep]])
         right.append(own[other[keep]])
     a, b = np.concatenate(left or [own[:0]]), np.concatenate(right or [own[:0]])
@@ -173,19 +201,30 @@ def _pairs(element: np.ndarray, own: np.ndarray, place: np.ndarray, before: np.n
 
 
 def _scan(lists: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Distinct candidates of lists that are whole in a task; `by` tells the list, and the rows of one follow each other by size."""
+    """Candidates (a, b) of lists that are whole in a task; `by` tells the list, and the rows of one follow each other by size.
+
+    Rows of frequent elements (with a part) pass as they are: element, a (their class), place, before. b is null for those.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        null = lambda n: pa.nulls(n, pa.int64())
+        names = ["a", "b", "element", "place", "before"]
 
         def out(now: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if len(now[0]):
                 a, b = _pairs(*now)
                 if len(a):
                     found = np.unique(np.stack([a, b], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64()), *[null(len(found))] * 3], names)
 
         for batch in batches:
+            if "part" in batch.schema.names:
+                frequent = pc.greater(batch.column("part"), 0)
+                rest = batch.filter(frequent)
+                if rest.num_rows:
+                    yield pa.RecordBatch.from_arrays([rest.column("class"), null(rest.num_rows), rest.column("element"), rest.column("place"), rest.column("before")], names)
+                batch = batch.filter(pc.invert(frequent))
             if not batch.num_rows:
                 continue
             now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
@@ -199,7 +238,7 @@ def _scan(lists: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
         if held is not None:
             yield from out(held)
 
-    return lists.repartition(*by).sortWithinPartitions(*by, "place", "class").select(*[F.col(c) for c in columns]).mapInArrow(run, "a long, b long").distinct()
+    return lists.repartition(*by).sortWithinPartitions(*by, "place", "class").mapInArrow(run, "a long, b long, element long, place long, before long")
 
 
 def _wanted(keys: DataFrame, rows: int) -> np.ndarray:
@@ -263,6 +302,19 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compared, "a long, b long")
 
 
+def _near_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose bits do not rule a link out."""
+    of = lambda c: classes.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("bitsa", "bitsb", "na", "nb")), strict=True)
+            keep = pa.array([_may_link(a, b, na + nb) for a, b, na, nb in rows], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """class and root (the least class of its component) of every class that has a link, by alternating large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
@@ -286,7 +338,7 @@ def components(links: DataFrame) -> DataFrame:
 def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     """The component roots (class, root) of all classes with a link. known: stored profiles."""
     full = known.where("n > 0")
-    classes = stored(full.groupBy("class").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.first("least").alias("least")))
+    classes = stored(full.groupBy("class").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.first("least").alias("least"), F.first("bits").alias("bits")))
     elements = classes.select("class", "n", F.explode("least").alias("element"))
     # First neighbours: the least and the greatest of the sets that share an element.
     ends = elements.groupBy("element").agg(F.min(F.struct("n", "class"))["class"].alias("first"), F.max(F.struct("n", "class"))["class"].alias("last")).where("first <> last")
@@ -299,26 +351,21 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     counted = known.where("sample is not null").select("class", "sample").dropDuplicates(["class"]).select(F.explode("sample").alias("element")).groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     hot_rows = counted.orderBy(F.desc("n"), "element").limit(HOT).select("element")
     hot = np.sort(hot_rows.toArrow().column("element").to_numpy().view(np.uint64))
-    all_lists = postings(docs, hot, boundary(elements))
-    marked = docs.sparkSession.createDataFrame(pa.table({"element": pa.array(hot.view(np.int64), pa.int64())})) if len(hot) else None
-
     columns = ["element", "class", "place", "before"]
-    if marked is None:
-        found = _scan(all_lists, ["element"], columns)
-    else:
-        # At most HOT rows are broadcast. The two kinds of lists part after one pass over the texts.
-        parted = all_lists.join(F.broadcast(marked.withColumn("often", F.lit(True))), "element", "left")
-        light = _scan(parted.where("often is null"), ["element"], columns)
-        often = stored(parted.where("often").select(*columns).distinct().join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")))
+    scanned = stored(_scan(postings(docs, hot, boundary(elements)), ["element", "part"], columns))
+    found = scanned.where("b is not null").select("a", "b").distinct()
+    if len(hot):
+        often = scanned.where("b is null").select("element", F.col("a").alias("class"), "place", "before").distinct().join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        often = stored(often)
         mixed = often.groupBy("element").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("rows")).where("x <> y").select("element", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
         block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
         spread = often.join(mixed, "element").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         crossed = spread.select(F.xxhash64("element", F.least("block", "other"), F.greatest("block", "other")).alias("list"), "class", "place", "before", "root", F.when(F.col("block") == F.col("other"), F.col("class")).otherwise(F.col("block").cast("long")).alias("side"))
-        heavy = _scan(crossed, ["list"], ["list", "class", "place", "before", "root", "side"])
-        found = light.unionAll(heavy).distinct()
+        found = found.unionAll(_scan(crossed, ["list"], ["list", "class", "place", "before", "root", "side"]).select("a", "b")).distinct()
     # What is connected already needs no further link.
     of = lambda c: roots.select(F.col("class").alias(c), F.col("root").alias(f"r{c}"))
     open_pairs = found.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    open_pairs = _near_enough(open_pairs, classes)
     second = verify(docs, classes, open_pairs)
     return components(roots.where("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b")).unionAll(second))
 
