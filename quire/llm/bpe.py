@@ -45,12 +45,27 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
+_unassigned = regex.compile(r"\p{Cn}").search
+
+
+def unknown(text: str) -> bool:
+    """Whether the text has characters that Unicode's tables here do not know, while the library's may."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return _unassigned(text) is not None or any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 class Codec:
     """A word-level BPE vocabulary with word ends, read from the tokenizers library's JSON."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.path, self.library = path, None
         model = spec["model"]
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         if kinds != ["NFC", "Replace", "Lowercase"] or spec["decoder"] is not None or spec["post_processor"] is not None:
@@ -67,7 +82,8 @@ class Codec:
         self.last = [vocab[c + self.end] for c in chars]
         #: (left id, right id) -> (rank, merged id)
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
-        self.joined = self._pairs(vocab, {c: b for b, c in enumerate(chars)})
+        self.byte = {c: b for b, c in enumerate(chars)}
+        self.joined = self._pairs(vocab, self.byte)
         self.fragments: dict[tuple[int, ...], list[int]] = {}
         self.table: dict[str, tuple[str, str]] = {}
 
@@ -158,9 +174,20 @@ class Codec:
 
     def chunk(self, chunk: str) -> list[int]:
         """The ids of a stretch without white space."""
+        if unknown(chunk):
+            return self._split_by_library(chunk)
         text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         return [i for w in self.words(text) for i in self.word(w)]
 
+    def _split_by_library(self, chunk: str) -> list[int]:
+        """The same, with the library's normal form and words: its tables may know letters that those here do not."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+        return [i for w, _ in words for i in self.word(bytes(self.byte[c] for c in w).decode("utf-8", "surrogatepass"))]
+
     def decode(self, ids: list[int]) -> str:
         """As the library does without a decoder: the tokens joined by one space."""
         return " ".join([self.tokens[i] for i in ids])

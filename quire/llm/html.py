@@ -232,9 +232,11 @@ def _walk(node: Node, lines: Lines, depth: int) -> None:
             inner = _render(c, depth + 1)
             lines.put([(mark if k == 0 else " " * len(mark)) + x if x else "" for k, x in enumerate(inner)])
         elif tag in BLOCKS:
-            (lines.blank if tag in SPACED else lines.line)()
+            # A list inside a list's item follows the item's line.
+            end = lines.blank if tag in SPACED and not (node.tag == "li" and tag in ("ul", "ol")) else lines.line
+            end()
             _walk(c, lines, depth + 1)
-            (lines.blank if tag in SPACED else lines.line)()
+            end()
         else:
             _walk(c, lines, depth + 1)
 

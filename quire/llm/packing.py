@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import byte_chars
+from quire.llm.bpe import byte_chars, unknown
 from quire.llm.common import slices
 
 WINDOW = 2048
@@ -49,7 +49,7 @@ class Encoder:
     """Ids of texts as little-endian 32-bit integers, as the tokenizers library gives them for a byte-level vocabulary.
 
     The ranks of the file drive tiktoken's merge loop, which gives the same ids in a quarter of the time. Texts with special
-    tokens written out and very long texts go to the tokenizers library itself.
+    tokens written out, with characters that Unicode's tables here do not know, and very long texts go to the library itself.
     """
 
     def __init__(self, path: str):
@@ -66,7 +66,7 @@ class Encoder:
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def one(self, text: str) -> bytes:
-        if len(text) > LONG or any(s in text for s in self.special):
+        if len(text) > LONG or any(s in text for s in self.special) or unknown(text):
             ids = self.own.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast(text)
