@@ -53,16 +53,17 @@ def _remixed(k: int):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id of documents that hold a benchmark item's text whole.
+    """doc_id, item_id of documents that hold a benchmark item's text whole; items of at least eight words.
 
-    Both sides meet in the item's first eight words, so that no document is held against every item; containment follows.
+    Both sides meet in the item's second to seventh word - the first and the last may be glued to what stands around them - so that
+    no document is held against every item; containment follows.
     """
-    words = 8
-    item = benchmark.select("item_id", F.col("text").alias("item"), F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("key")).where("size(split(item, ' ')) >= 8")
-    t = F.split(F.regexp_replace("text", "\n", " "), " ")
-    windows = docs.select("doc_id", "text", t.alias("t")).select("doc_id", "text", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("t", i, words), " ")))).alias("h"))
-    # The items' keys are few: bounded by the benchmark, which is checked before it is broadcast.
-    keys = item.select("item_id", "item", F.xxhash64("key").alias("h"))
+    words = 6
+    flat = lambda c: F.split(F.regexp_replace(c, "\n", " "), " ")
+    item = benchmark.select("item_id", F.col("text").alias("item"), flat("text").alias("w")).where("size(w) >= 8")
+    keys = item.select("item_id", "item", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")).alias("h"))
+    windows = docs.select("doc_id", "text", flat("text").alias("t")).select("doc_id", "text", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("t", i, words), " ")))).alias("h"))
+    # The items' keys are bounded by the benchmark, whose size is checked before they are broadcast.
     side = F.broadcast(keys) if benchmark.count() <= 100_000 else keys
     return windows.join(side, "h").where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
 
