@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import layout as L
 from quire.operators import matching as M
+from quire.operators import report as O
 from quire.operators import review as R
 from quire.plans.layout_queries import all_blocks
 from quire.plans.registry import query
 from quire.sources import derived as S
 
+_STYLE_SQL = "CASE block_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in O.STYLES.items()) + " ELSE 'Normal' END"
+
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     found = all_blocks(spark, sf_dir)
@@ -258,14 +261,14 @@ def docx_fragment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {S.BLOCKS_SQL}, seg AS (SELECT doc_id, reading_order, block_type, unnest(string_split(literal, chr(10) || chr(10))) AS t, generate_subscripts(string_split(literal, chr(10) || chr(10)), 1) AS i FROM blocks)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order, i) AS seq, CASE WHEN block_type IN ('HEADING_1', 'HEADING_2', 'HEADING_3') THEN replace(block_type, 'HEADING_', 'Heading ') WHEN block_type = 'BULLET_LIST' THEN 'List Bullet' WHEN block_type = 'CAPTION' THEN 'Caption' ELSE 'Normal' END AS style, md5(t) AS text_md5 FROM seg""")
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order, i) AS seq, CASE WHEN block_type = 'BULLET_LIST' THEN 'List Bullet' ELSE {_STYLE_SQL} END AS style, md5(t) AS text_md5 FROM seg""")
 def render_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a paragraph of the rendered page, with its style."""
     from pyspark.sql import Window
 
     seg = all_blocks(spark, sf_dir).select("doc_id", "reading_order", "block_type", F.posexplode(F.split("literal", "\n\n")).alias("i", "t"))
     kind = F.col("block_type")
-    style = F.when(kind.isin("HEADING_1", "HEADING_2", "HEADING_3"), F.replace(kind, F.lit("HEADING_"), F.lit("Heading "))).when(kind == "BULLET_LIST", "List Bullet").when(kind == "CAPTION", "Caption").otherwise("Normal")
+    style = F.when(kind == "BULLET_LIST", "List Bullet").otherwise(O.style_of(kind))
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("reading_order", "i")).cast("long")
     return seg.select("doc_id", seq.alias("seq"), style.alias("style"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
 
