@@ -16,19 +16,23 @@ from quire.operators import metrics as E
 from quire.plans.layout_queries import all_blocks, modular_cells
 from quire.plans.registry import query
 from quire.sources import derived as S
+from quire.sources.storage import stored
 
 _MATCH_SQL = f"WITH {S.BLOCKS_SQL}, m AS (SELECT b.doc_id, b.ord, b.literal AS a, h.literal AS b, b.reading_order AS ra, h.reading_order AS rh FROM blocks b JOIN hyp h ON b.doc_id = h.doc_id AND b.ord = h.ord)"
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    found = all_blocks(spark, sf_dir)
+    found = stored(all_blocks(spark, sf_dir))
     hyp = L.hypothesis(found)
     return found, hyp, M.truth_to_hypothesis(found, hyp)
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, a, b: texts of matched blocks, of at most 200 characters as lines are, ASCII-folded for both engines to agree on lengths."""
-    found, hyp, matches = _matched(spark, sf_dir)
+    return _texts_of(*_matched(spark, sf_dir))
+
+
+def _texts_of(found: DataFrame, hyp: DataFrame, matches: DataFrame) -> DataFrame:
     side = lambda df, ord_, out: df.select("doc_id", F.col("ord").alias(ord_), T.ascii_folded(F.left("literal", F.lit(200))).alias(out))
     return matches.join(side(found, "ord", "a"), ["doc_id", "ord"]).join(side(hyp, "hyp_ord", "b"), ["doc_id", "hyp_ord"])
 
@@ -44,23 +48,32 @@ def gt_hyp_geometry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_MATCH_SQL}, t AS (SELECT doc_id, {_FOLD.format('a')} AS a, {_FOLD.format('b')} AS b FROM m) SELECT doc_id, CAST(sum(levenshtein(a, b)) AS BIGINT) AS distance, CAST(sum(length(a)) AS BIGINT) AS n_chars, round(CAST(sum(levenshtein(a, b)) AS DOUBLE) / nullif(sum(length(a)), 0), 6) AS cer FROM t GROUP BY doc_id")
 def page_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character error rate of a page's matched blocks; null for an empty reference."""
-    sums = _texts(spark, sf_dir).groupBy("doc_id").agg(F.sum(F.levenshtein("a", "b")).alias("distance"), F.sum(F.length("a")).alias("n_chars"))
+    return _cer(_texts(spark, sf_dir))
+
+
+def _cer(texts: DataFrame) -> DataFrame:
+    sums = texts.groupBy("doc_id").agg(F.sum(F.levenshtein("a", "b")).alias("distance"), F.sum(F.length("a")).alias("n_chars"))
     return sums.withColumn("cer", E.rate(F.col("distance"), F.col("n_chars")))
 
 
 @query()
 def page_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word error rate: tokens become characters, and the strings' distance is the tokens'."""
-    a, b = T.tokens(F.col("a")), T.tokens(F.col("b"))
-    sums = _texts(spark, sf_dir).select("doc_id", F.size(a).alias("n"), T.token_distance(a, b).alias("d")).groupBy("doc_id").agg(F.sum("d").alias("distance"), F.sum("n").alias("n_words"))
+    return _wer(_texts(spark, sf_dir))
+
+
+def _wer(texts: DataFrame) -> DataFrame:
+    words = texts.select("doc_id", T.tokens(F.col("a")).alias("a"), T.tokens(F.col("b")).alias("b"))
+    sums = words.select("doc_id", F.size("a").alias("n"), T.token_distance(F.col("a"), F.col("b")).alias("d")).groupBy("doc_id").agg(F.sum("d").alias("distance"), F.sum("n").alias("n_words"))
     return sums.withColumn("wer", E.rate(F.col("distance"), F.col("n_words")))
 
 
+_PATTERNS = {"digit": T.DIGITS, "english": T.ENGLISH, "punctuation": r"\p{P}"}
+
+
 @query()
 def digit_english_punct_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _texts(spark, sf_dir)
-    digits, english, points = (E.token_accuracy(pairs, p, n) for p, n in ((T.DIGITS, "digit"), (T.ENGLISH, "english"), (r"\p{P}", "punctuation")))
-    return digits.join(english, "doc_id").join(points, "doc_id")
+    return E.token_accuracy(_texts(spark, sf_dir), _PATTERNS)
 
 
 def _bag_sql(truth: str, hyp: str, key: str) -> str:
@@ -73,8 +86,11 @@ SELECT doc_id, tp, fp, fn, round(2.0E0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS
 @query(f"WITH {S.BLOCKS_SQL}, ta AS (SELECT * FROM blocks WHERE block_type IN ('HEADING_1', 'HEADING_2', 'HEADING_3')), hb AS (SELECT * FROM hyp WHERE block_type IN ('HEADING_1', 'HEADING_2', 'HEADING_3')), " + _bag_sql("ta", "hb", "literal"))
 def heading_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = all_blocks(spark, sf_dir)
-    headings = lambda df: df.where(F.col("block_type").isin("HEADING_1", "HEADING_2", "HEADING_3"))
-    return E.bag_f1(headings(found), headings(L.hypothesis(found)), "doc_id", "literal")
+    return E.bag_f1(_headings(found), _headings(L.hypothesis(found)), "doc_id", "literal")
+
+
+def _headings(blocks: DataFrame) -> DataFrame:
+    return blocks.where(F.col("block_type").isin("HEADING_1", "HEADING_2", "HEADING_3"))
 
 
 @query(f"WITH {S.BOUNDARY_SQL}, ta AS (SELECT doc_id, boundary FROM bound WHERE boundary IS NOT NULL), hb AS (SELECT doc_id, CASE WHEN (doc_id + ln) % 7 = 0 THEN 'NEW_PARAGRAPH' ELSE boundary END AS boundary FROM bound WHERE boundary IS NOT NULL AND (doc_id + ln) % 11 <> 0), " + _bag_sql("ta", "hb", "boundary"))
@@ -110,7 +126,10 @@ def table_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, hyp, matches = _matched(spark, sf_dir)
+    return _missing_of(*_matched(spark, sf_dir))
+
+
+def _missing_of(found: DataFrame, hyp: DataFrame, matches: DataFrame) -> DataFrame:
     truth = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("literal")).alias("r_chars"))
     theirs = hyp.groupBy("doc_id").agg(F.count("*").alias("h"), F.sum(F.length("literal")).alias("h_chars"), F.sum(F.when(F.col("unresolved"), F.length("literal")).otherwise(0)).alias("u_chars"))
     both = truth.join(theirs, "doc_id", "left").join(matches.groupBy("doc_id").agg(F.count("*").alias("k")), "doc_id", "left")
@@ -138,8 +157,19 @@ def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures of a page side by side."""
     found, hyp, matches = _matched(spark, sf_dir)
+    matches = stored(matches)
+    texts = stored(_texts_of(found, hyp, matches))
     out = found.select("doc_id").distinct()
-    parts = [page_cer(spark, sf_dir).select("doc_id", "cer"), page_wer(spark, sf_dir).select("doc_id", "wer"), digit_english_punct_accuracy(spark, sf_dir).select("doc_id", "digit_accuracy", "english_accuracy", "punctuation_accuracy"), heading_f1(spark, sf_dir).select("doc_id", F.col("f1").alias("heading_f1")), boundary_bag_f1(spark, sf_dir).select("doc_id", F.col("f1").alias("boundary_f1")), E.order_accuracy(found, hyp, matches).select("doc_id", F.col("accuracy").alias("order_accuracy")), table_preservation(spark, sf_dir), _missing(spark, sf_dir)]
+    parts = [
+        _cer(texts).select("doc_id", "cer"),
+        _wer(texts).select("doc_id", "wer"),
+        E.token_accuracy(texts, _PATTERNS).select("doc_id", *[f"{n}_accuracy" for n in _PATTERNS]),
+        E.bag_f1(_headings(found), _headings(hyp), "doc_id", "literal").select("doc_id", F.col("f1").alias("heading_f1")),
+        boundary_bag_f1(spark, sf_dir).select("doc_id", F.col("f1").alias("boundary_f1")),
+        E.order_accuracy(found, hyp, matches).select("doc_id", F.col("accuracy").alias("order_accuracy")),
+        table_preservation(spark, sf_dir),
+        _missing_of(found, hyp, matches),
+    ]
     for part in parts:
         out = out.join(part, "doc_id", "left")
     return out

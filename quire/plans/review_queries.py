@@ -13,12 +13,13 @@ from quire.operators import review as R
 from quire.plans.layout_queries import all_blocks
 from quire.plans.registry import query
 from quire.sources import derived as S
+from quire.sources.storage import stored
 
 _STYLE_SQL = "CASE block_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in O.STYLES.items()) + " ELSE 'Normal' END"
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = all_blocks(spark, sf_dir)
+    found = stored(all_blocks(spark, sf_dir))
     return found, L.hypothesis(found)
 
 

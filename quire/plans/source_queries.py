@@ -11,6 +11,7 @@ from quire.operators import spans
 from quire.plans.registry import query
 from quire.sources import derived as S
 from quire.sources import payloads as P
+from quire.sources.storage import shared_dir
 from quire.streaming import jobs as J
 
 
@@ -50,7 +51,7 @@ def local_payload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log worked off as a stream: the last state of each user."""
     schema = S.table(spark, sf_dir, "events").schema
-    out = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     J.run_once(J.latest(J.events(spark, sf_dir, "events.parquet", schema)), f"{out}/rows", f"{out}/log")
     return spark.read.parquet(f"{out}/rows")
 
@@ -58,13 +59,6 @@ def streamed_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def streamed_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = S.table(spark, sf_dir, "events").schema
-    out = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     J.run_once(J.windowed(J.events(spark, sf_dir, "events.parquet", schema), late="10000 days"), f"{out}/rows", f"{out}/log")
     return spark.read.parquet(f"{out}/rows").select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", "events", F.round("value", 4).alias("value"))
-
-
-def _shared(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is named."""
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")).rstrip("/")
