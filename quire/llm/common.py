@@ -36,7 +36,19 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+#: Bytes of an Arrow batch on its way to or from a Python worker; each executor core holds a few of them, in the JVM and in Python.
+BATCH = "4m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are small, unless someone has set their size: the default lets a batch have 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name) in ("67108864b", "67108864", "64MB", "64m"):
+        df.sparkSession.conf.set(name, BATCH)
+    return df
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Pieces of the batches with about budget bytes of text each, and at least a row. Bounds what a Python worker holds at once."""
     for batch in batches:
         if not batch.num_rows:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices
+from quire.llm.common import bounded, slices
 from quire.llm.shingles import shingle_hashes
 
 #: Hashes in a fingerprint: a resemblance of 0.5 is met within 0.044, one standard deviation.
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = sketches([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(written, found), pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def _runs(docs: DataFrame) -> tuple[object, DataFrame]:
@@ -109,7 +109,7 @@ def _runs(docs: DataFrame) -> tuple[object, DataFrame]:
 
 def edited(docs: DataFrame) -> DataFrame:
     """SCHEMA for every row: the text's fingerprint, that of its edited text, and likeness to the edited and to the next text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cell, runs = _runs(docs)
     first = F.col("doc_id").eqNullSafe(F.col("top"))
     copies = F.when(first, F.array(F.struct(F.col("run").alias("run"), F.lit(0).alias("ghost")), F.struct(F.col("also").alias("run"), F.lit(1).alias("ghost")))).otherwise(F.array(F.struct(F.col("run").alias("run"), F.lit(0).alias("ghost"))))
@@ -119,7 +119,7 @@ def edited(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         held: tuple | None = None  # the row before, which waits for its next
-        for batch in slices(batches, budget=1 << 20):
+        for batch in slices(batches):
             ghosts, ids, texts = (batch.column(c).to_pylist() for c in ("ghost", "doc_id", "text"))
             rows = ([held] if held else []) + list(zip(ghosts, ids, texts, sketches(texts), strict=True))
             held = rows[-1]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices
+from quire.llm.common import bounded, slices
 
 DEPTH = 200
 #: Fixed values of the HTML standard.
@@ -264,4 +264,4 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in slices(batches, "html"):
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([render(h) for h in batch.column("html").to_pylist()], pa.string())], ["page_id", "text"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, "page_id long, text string")
+    return bounded(pages).select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, "page_id long, text string")

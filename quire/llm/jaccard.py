@@ -14,8 +14,8 @@ Those left are told apart by parity bits of the hashes, which bound the differen
 whole texts, which are sent in groups around the more wanted set of a pair.
 
 Large groups of near copies would make all pairs of a list candidates. So links to the least and the greatest set that share one
-of a set's least elements are found first; lists of frequent elements are then scanned only between different components,
-in blocks of bounded size, because what is connected already needs no further link.
+of a set's least elements are found first; lists are then scanned only between different components, because what is connected
+already needs no further link. Lists of frequent elements that hold several components are scanned in blocks of bounded size.
 
 Frequent elements are told from a sample of one class in SAMPLE, and at most HOT of them are broadcast. That only changes the order,
 never the result.
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices, stored
+from quire.llm.common import bounded, slices, stored
 from quire.llm.shingles import mix, shingle_hashes
 
 #: Least elements of a set that lead it to its first neighbours.
@@ -108,7 +108,7 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
 
 def boundary(elements: DataFrame, widest: int = WIDEST) -> int:
@@ -175,8 +175,8 @@ def postings(docs: DataFrame, hot: np.ndarray, light: int) -> DataFrame:
     return _texts(docs).select("text").mapInArrow(run, "element long, class long, place long, before long, part int")
 
 
-def _pairs(element: np.ndarray, own: np.ndarray, place: np.ndarray, before: np.ndarray, root: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The candidates of whole lists, sorted by element and place. With root and side: only between different components, and only across the two sides."""
+def _pairs(element: np.ndarray, own: np.ndarray, place: np.ndarray, before: np.ndarray, root: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The candidates of whole lists, sorted by element and place: between different components (root), and across the two sides only."""
     n, at = place >> 32, place & 0xFFFFFFFF
     new = np.flatnonzero(np.concatenate([[True], element[1:] != element[:-1]]))
     ends = np.repeat(np.append(new[1:], len(element)), np.diff(np.append(new, len(element))))
@@ -191,54 +191,66 @@ def _pairs(element: np.ndarray, own: np.ndarray, place: np.ndarray, before: np.n
         near = 5 * n[rows] >= 4 * n[other]
         rows, other = rows[near], other[near]
         need = -(-4 * (n[rows] + n[other]) // 9)
-        keep = (np.minimum(n[rows] - at[rows], n[other] - at[other]) >= need) & (before[rows] != before[other]) & (own[rows] != own[other])
-        if root is not None:
-            keep &= (root[rows] != root[other]) & (side[rows] != side[other])
+        keep = (np.minimum(n[rows] - at[rows], n[other] - at[other]) >= need) & (before[rows] != before[other]) & (root[rows] != root[other]) & (side[rows] != side[other])
         left.append(own[rows[keep]])
         right.append(own[other[keep]])
     a, b = np.concatenate(left or [own[:0]]), np.concatenate(right or [own[:0]])
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _scan(lists: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Candidates (a, b) of lists that are whole in a task; `by` tells the list, and the rows of one follow each other by size.
-
-    Rows of frequent elements (with a part) pass as they are: element, a (their class), place, before. b is null for those.
-    """
+def _whole(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, cut so that rows with one value of the first column are never parted."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if held is not None:
+            now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
+        # The last list may go on in the next batch.
+        other = np.flatnonzero(now[0] != now[0][-1])
+        last = int(other[-1]) + 1 if len(other) else 0
+        if last:
+            yield [x[:last] for x in now]
+        held = [x[last:] for x in now]
+    if held is not None:
+        yield held
+
+
+def _shared(lists: DataFrame) -> DataFrame:
+    """The lists' rows without those of a class that stands in its list alone, and each once. Parts of frequent elements' lists stay whole."""
+    columns = ["element", "class", "place", "before", "part"]
+
+    def thinned(element, own, place, before, part) -> pa.RecordBatch | None:
+        # A class comes twice if two tasks had copies of its text.
+        new = np.concatenate([[True], (element[1:] != element[:-1]) | (part[1:] != part[:-1]) | (own[1:] != own[:-1])])
+        element, own, place, before, part = (x[new] for x in (element, own, place, before, part))
+        same = element[1:] == element[:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (part > 0)
+        if keep.any():
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (element, own, place, before, part)], columns)
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        null = lambda n: pa.nulls(n, pa.int64())
-        names = ["a", "b", "element", "place", "before"]
+        for now in _whole(batches, columns):
+            out = thinned(*now)
+            if out is not None:
+                yield out
 
-        def out(now: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if len(now[0]):
-                a, b = _pairs(*now)
-                if len(a):
-                    found = np.unique(np.stack([a, b], axis=1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64()), *[null(len(found))] * 3], names)
+    return lists.repartition("element", "part").sortWithinPartitions("element", "part", "class").mapInArrow(run, "element long, class long, place long, before long, part int")
 
-        for batch in batches:
-            if "part" in batch.schema.names:
-                frequent = pc.greater(batch.column("part"), 0)
-                rest = batch.filter(frequent)
-                if rest.num_rows:
-                    yield pa.RecordBatch.from_arrays([rest.column("class"), null(rest.num_rows), rest.column("element"), rest.column("place"), rest.column("before")], names)
-                batch = batch.filter(pc.invert(frequent))
-            if not batch.num_rows:
-                continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-            if held is not None:
-                now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
-            # The last list may go on in the next batch.
-            other = np.flatnonzero(now[0] != now[0][-1])
-            last = int(other[-1]) + 1 if len(other) else 0
-            yield from out([x[:last] for x in now])
-            held = [x[last:] for x in now]
-        if held is not None:
-            yield from out(held)
 
-    return lists.repartition(*by).sortWithinPartitions(*by, "place", "class").mapInArrow(run, "a long, b long, element long, place long, before long")
+def _scan(lists: DataFrame, by: str) -> DataFrame:
+    """Candidates (a, b) of lists that are whole in a task; `by` tells the list, and its rows follow each other by size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now in _whole(batches, [by, "class", "place", "before", "root", "side"]):
+            a, b = _pairs(*now)
+            if len(a):
+                found = np.unique(np.stack([a, b], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
+
+    return lists.select(by, "class", "place", "before", "root", "side").repartition(by).sortWithinPartitions(by, "place", "class").mapInArrow(run, "a long, b long")
 
 
 def _wanted(keys: DataFrame, rows: int) -> np.ndarray:
@@ -351,22 +363,18 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     counted = known.where("sample is not null").select("class", "sample").dropDuplicates(["class"]).select(F.explode("sample").alias("element")).groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     hot_rows = counted.orderBy(F.desc("n"), "element").limit(HOT).select("element")
     hot = np.sort(hot_rows.toArrow().column("element").to_numpy().view(np.uint64))
-    columns = ["element", "class", "place", "before"]
-    scanned = stored(_scan(postings(docs, hot, boundary(elements)), ["element", "part"], columns))
-    found = scanned.where("b is not null").select("a", "b").distinct()
+    shared = stored(_shared(postings(docs, hot, boundary(elements))))
+    # What is connected already needs no further link.
+    rooted = shared.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    found = _scan(rooted.where("part = 0").withColumn("side", F.col("class")), "element")
     if len(hot):
-        often = scanned.where("b is null").select("element", F.col("a").alias("class"), "place", "before").distinct().join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        often = stored(often)
+        often = stored(rooted.where("part > 0").drop("part"))
         mixed = often.groupBy("element").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("rows")).where("x <> y").select("element", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
         block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
         spread = often.join(mixed, "element").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         crossed = spread.select(F.xxhash64("element", F.least("block", "other"), F.greatest("block", "other")).alias("list"), "class", "place", "before", "root", F.when(F.col("block") == F.col("other"), F.col("class")).otherwise(F.col("block").cast("long")).alias("side"))
-        found = found.unionAll(_scan(crossed, ["list"], ["list", "class", "place", "before", "root", "side"]).select("a", "b")).distinct()
-    # What is connected already needs no further link.
-    of = lambda c: roots.select(F.col("class").alias(c), F.col("root").alias(f"r{c}"))
-    open_pairs = found.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    open_pairs = _near_enough(open_pairs, classes)
-    second = verify(docs, classes, open_pairs)
+        found = found.unionAll(_scan(crossed, "list"))
+    second = verify(docs, classes, _near_enough(found.distinct(), classes))
     return components(roots.where("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b")).unionAll(second))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import byte_chars, unknown
-from quire.llm.common import slices
+from quire.llm.common import bounded, slices
 
 WINDOW = 2048
 #: Width of a length class. A window of three pieces wastes less than three times this.
@@ -223,4 +223,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW) -> D
         if block:
             yield _block(block, number, window)[0]
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import fold, labelled, slices, stored
+from quire.llm.common import bounded, fold, labelled, slices, stored
 
 ROWS = 8000
 FOLDS, LEFT_OUT = 4, 2
@@ -39,7 +39,7 @@ STEMS = range(4, 7)
 #: Share of the toxic documents that a learned term or stem must be in: what only a group of copies has is no sign of abuse.
 SUPPORT = 0.025
 #: Distinct tokens that a worker remembers.
-TABLE = 400_000
+TABLE = 150_000
 
 #: Insults that are taken for toxic without any label.
 SEED = "bastard clown cretin degenerate disgusting dumbass filthy fool freak idiot imbecile loser moron parasite pathetic retard scum slut stupid trash vermin whore worthless".split()
@@ -285,7 +285,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "t
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (doc_id unless told otherwise) and score, of every row; one pass without a shuffle."""
     keep = keep or ["doc_id"]
-    frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias("__text"))
+    frame = bounded(docs).select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("text"), F.lit("")).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +304,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Dat
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def detect(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
