@@ -35,9 +35,9 @@ REACH = 8
 FUZZY = 5
 #: Terms and stems that the labels may add; the strongest come first.
 TERMS = 4000
-STEMS = range(4, 7)
-#: Share of the toxic documents that a learned term or stem must be in: what only a group of copies has is no sign of abuse.
-SUPPORT = 0.025
+STEMS = range(4, 9)
+#: Share of the toxic documents that a learned term or stem must be in.
+SUPPORT = 0.01
 #: Distinct tokens that a worker remembers.
 TABLE = 150_000
 
@@ -215,20 +215,23 @@ class Model:
 
 
 def lexicon(sample: DataFrame, terms: int = TERMS) -> tuple[dict[str, float], dict[str, float]]:
-    """Terms and stems of the labelled sample whose documents are toxic far beyond the share of such documents."""
-    # Words stripped of the signs around them, as the matcher strips them.
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), "\\s+")))
+    """Terms and stems of the labelled sample that toxic documents use far beyond their share.
+
+    Documents with the same least hash of a word count as one, since copies of a document say no more than it.
+    """
+    chunks = F.array_distinct(F.split(F.lower("text"), "\\s+"))
+    worded = sample.select("label", chunks.alias("w")).select("label", "w", F.array_min(F.transform("w", lambda c: F.xxhash64(c))).alias("own"))
     parts = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.when(F.length("word") >= n, F.substring("word", 1, n)).alias("word")) for n in STEMS], F.struct(F.lit(0).alias("n"), F.col("word").alias("word"))))
-    docs = sample.agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
+    docs = worded.select("own", "label").distinct().agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
     if not docs.n or not docs.toxic or docs.toxic == docs.n:
         return {}, {}
-    # A word of a document counts once: what repeats in it is merged before the counts.
+    # Words stripped of the signs around them, as the matcher strips them. What repeats in a document is merged before the counts.
     counted = (
-        sample.select("doc_id", "label", word.alias("chunk"))
-        .select("doc_id", "label", F.regexp_replace("chunk", "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "").alias("word"))
+        worded.select("own", "label", F.explode("w").alias("chunk"))
+        .select("own", "label", F.regexp_replace("chunk", "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "").alias("word"))
         .where("length(word) between 3 and 40")
-        .select("doc_id", "label", parts.alias("s"))
-        .select("doc_id", "label", "s.n", "s.word")
+        .select("own", "label", parts.alias("s"))
+        .select("own", "label", "s.n", "s.word")
         .where("word is not null")
         .distinct()
         .groupBy("n", "word")
@@ -237,7 +240,7 @@ def lexicon(sample: DataFrame, terms: int = TERMS) -> tuple[dict[str, float], di
     rest, own = float(docs.n - docs.toxic), float(docs.toxic)
     # Odds against the share of toxic documents, with half a clean document added.
     odds = (F.col("toxic") / own) / ((F.col("clean") + 0.5) / rest)
-    found = counted.where((F.col("toxic") >= max(4.0, SUPPORT * own)) & (odds >= 20.0) & (F.col("toxic") > 4 * F.col("clean")))
+    found = counted.where((F.col("toxic") >= max(4.0, SUPPORT * own)) & (odds >= 10.0) & (F.col("toxic") > F.col("clean")))
     rows = found.select("n", "word", (F.col("toxic") / (F.col("toxic") + 2 * F.col("clean") + 1.0)).alias("weight"), "toxic").orderBy(F.desc("toxic"), "n", "word").limit(terms).collect()
     stems: dict[str, float] = {}
     for r in sorted((r for r in rows if r.n), key=lambda r: r.n):
