@@ -13,8 +13,8 @@ A candidate must pass bounds on sizes and places, and is taken from the first li
 Those left are told apart by parity bits of the hashes, which bound the difference of two sets from below, and then verified on
 whole texts, which are sent in groups around the more wanted set of a pair.
 
-Large groups of near copies would make all pairs of a list candidates. So links to the least and the greatest set that share one
-of a set's least elements are found first; lists are then scanned only between different components, because what is connected
+Large groups of near copies would make all pairs of a list candidates. So in long
+lists links to one set are found first, that with the fewest elements of its own; lists are then scanned only between different components, because what is connected
 already needs no further link. Lists of frequent elements that hold several components are scanned in blocks of bounded size.
 
 Frequent elements are told from a sample of one class in SAMPLE, and at most HOT of them are broadcast. That only changes the order,
@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 from quire.llm.common import bounded, slices, stored
 from quire.llm.shingles import mix, shingle_hashes
 
-#: Least elements of a set that lead it to its first neighbours.
+#: Least elements of a set by which the lengths of lists are reckoned.
 LEAST = 4
+#: From so many sets on a list has a hub.
+CROWD = 16
 #: One class in so many is counted to tell frequent elements; an element is frequent if OFTEN of them have it.
 SAMPLE = 64
 OFTEN = 4
@@ -128,7 +130,7 @@ def boundary(elements: DataFrame, widest: int = WIDEST) -> int:
 
 
 def postings(docs: DataFrame, hot: np.ndarray, light: int) -> DataFrame:
-    """element, class, place (size << 32 | place in the order), before (the element before it), part of each set's keys. hot: sorted frequent elements.
+    """element, class, place (size << 32 | place in the order), before (the element before it), part, usual (the set's elements that are not frequent) of each set's keys. hot: sorted frequent elements.
 
     The lists of frequent elements are dealt to PARTS parts, numbered from 1; the part of all others is 0.
     """
@@ -138,7 +140,7 @@ def postings(docs: DataFrame, hot: np.ndarray, light: int) -> DataFrame:
         frequent = sent.value
         seen: set[int] = set()  # classes that this task has had: 8 bytes a document
         for batch in slices(batches):
-            keys, classes, places, before, parts = [], [], [], [], []
+            keys, classes, places, before, parts, rest = [], [], [], [], [], []
             for s in shingle_hashes([t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]):
                 n = len(s)
                 if not n or (own := _class(s)) in seen:
@@ -153,6 +155,7 @@ def postings(docs: DataFrame, hot: np.ndarray, light: int) -> DataFrame:
                 else:
                     usual = n
                 spare = n - -(-4 * n // 5)
+                had = len(keys)
                 if n > light:
                     prefix = s[: spare + 1]
                     keys.append(prefix)
@@ -169,10 +172,11 @@ def postings(docs: DataFrame, hot: np.ndarray, light: int) -> DataFrame:
                     before.append(np.full(len(pair), own & ((1 << 64) - 1), dtype=np.uint64))
                     parts.append(np.zeros(len(pair), dtype=np.int32))
                     classes.append(np.full(len(pair), own, dtype=np.int64))
+                rest += [np.full(len(k), usual, dtype=np.int32) for k in keys[had:]]
             if keys:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(classes), pa.int64()), pa.array(np.concatenate(places), pa.int64()), _signed(np.concatenate(before)), pa.array(np.concatenate(parts), pa.int32())], ["element", "class", "place", "before", "part"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(classes), pa.int64()), pa.array(np.concatenate(places), pa.int64()), _signed(np.concatenate(before)), pa.array(np.concatenate(parts), pa.int32()), pa.array(np.concatenate(rest), pa.int32())], ["element", "class", "place", "before", "part", "usual"])
 
-    return _texts(docs).select("text").mapInArrow(run, "element long, class long, place long, before long, part int")
+    return _texts(docs).select("text").mapInArrow(run, "element long, class long, place long, before long, part int, usual int")
 
 
 def _pairs(element: np.ndarray, own: np.ndarray, place: np.ndarray, before: np.ndarray, root: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,16 +223,16 @@ def _whole(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[li
 
 def _shared(lists: DataFrame) -> DataFrame:
     """The lists' rows without those of a class that stands in its list alone, and each once. Parts of frequent elements' lists stay whole."""
-    columns = ["element", "class", "place", "before", "part"]
+    columns = ["element", "class", "place", "before", "part", "usual"]
 
-    def thinned(element, own, place, before, part) -> pa.RecordBatch | None:
+    def thinned(element, own, place, before, part, usual) -> pa.RecordBatch | None:
         # A class comes twice if two tasks had copies of its text.
         new = np.concatenate([[True], (element[1:] != element[:-1]) | (part[1:] != part[:-1]) | (own[1:] != own[:-1])])
-        element, own, place, before, part = (x[new] for x in (element, own, place, before, part))
+        element, own, place, before, part, usual = (x[new] for x in (element, own, place, before, part, usual))
         same = element[1:] == element[:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (part > 0)
         if keep.any():
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (element, own, place, before, part)], columns)
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (element, own, place, before, part, usual)], columns)
         return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +241,7 @@ def _shared(lists: DataFrame) -> DataFrame:
             if out is not None:
                 yield out
 
-    return lists.repartition("element", "part").sortWithinPartitions("element", "part", "class").mapInArrow(run, "element long, class long, place long, before long, part int")
+    return lists.repartition("element", "part").sortWithinPartitions("element", "part", "class").mapInArrow(run, "element long, class long, place long, before long, part int, usual int")
 
 
 def _scan(lists: DataFrame, by: str) -> DataFrame:
@@ -352,18 +356,18 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
     full = known.where("n > 0")
     classes = stored(full.groupBy("class").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.first("least").alias("least"), F.first("bits").alias("bits")))
     elements = classes.select("class", "n", F.explode("least").alias("element"))
-    # First neighbours: the least and the greatest of the sets that share an element.
-    ends = elements.groupBy("element").agg(F.min(F.struct("n", "class"))["class"].alias("first"), F.max(F.struct("n", "class"))["class"].alias("last")).where("first <> last")
-    near = elements.join(ends, "element").select("class", F.explode(F.array("first", "last")).alias("end")).where("class <> end").select(F.least("class", "end").alias("a"), F.greatest("class", "end").alias("b"))
-    sizes = classes.select("class", "n")
-    close = near.distinct().join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
-    first = stored(verify(docs, classes, close))
-    roots = stored(components(first))
-
     counted = known.where("sample is not null").select("class", "sample").dropDuplicates(["class"]).select(F.explode("sample").alias("element")).groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     hot_rows = counted.orderBy(F.desc("n"), "element").limit(HOT).select("element")
     hot = np.sort(hot_rows.toArrow().column("element").to_numpy().view(np.uint64))
     shared = stored(_shared(postings(docs, hot, boundary(elements))))
+    # First links: in long lists to the set with the fewest elements of its own, which what was copied from it is nearest to.
+    size = F.shiftright("place", 32)
+    hubs = shared.groupBy("element").agg(F.min(F.struct("usual", size.alias("n"), "class")).alias("hub"), F.count("*").alias("rows")).where(F.col("rows") >= CROWD).select("element", "hub.class", "hub.n").toDF("element", "hub", "hub_n")
+    near = shared.join(hubs, "element").where((F.col("class") != F.col("hub")) & (5 * F.least(size, "hub_n") >= 4 * F.greatest(size, "hub_n")))
+    near = near.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+    first = stored(verify(docs, classes, _near_enough(near, classes)))
+    roots = stored(components(first))
+
     # What is connected already needs no further link.
     rooted = shared.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     found = _scan(rooted.where("part = 0").withColumn("side", F.col("class")), "element")
