@@ -10,7 +10,8 @@ are never moved. Each task keeps k rows a query and chunk, merged by a window.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part. Rows with the query's own id
 are not its candidates; repeated rows of another id are each a candidate, and rank side by side. Of several vectors with one
-query id the least counts as the query. A candidate of another length than the query's is none. Null ids take no part. With
+query id the least counts as the query. A candidate of another length than the query's is none.
+Scores are exact up to 2**62, beyond which the search fails. Null ids take no part. With
 fewer than k candidates all are returned.
 """
 
@@ -78,6 +79,26 @@ def best(ids: np.ndarray, columns: np.ndarray, norms: np.ndarray, query_id: int,
     return ids[alive[chosen]], partial[chosen]
 
 
+def whole(ids: np.ndarray, columns: np.ndarray, query_id: int, query: np.ndarray, k: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for scores beyond double precision's integers: all of them, in 64-bit integers."""
+    if most >= 2.0**62:
+        raise ValueError("components are too large for scores of 64 bits")
+    alive = np.flatnonzero(ids != query_id)
+    scores = query.astype(np.int64) @ columns[:, alive].astype(np.int64)
+    chosen = np.lexsort((ids[alive], -scores))[:k]
+    return ids[alive[chosen]], scores[chosen]
+
+
+def _merged(have: tuple[np.ndarray, np.ndarray] | None, new: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of two lists."""
+    if have is None:
+        return new
+    wide = np.int64 if np.int64 in (have[1].dtype, new[1].dtype) else np.float64
+    ids, scores = np.concatenate([have[0], new[0]]), np.concatenate([have[1].astype(wide), new[1].astype(wide)])
+    chosen = np.lexsort((ids, -scores))[:k]
+    return ids[chosen], scores[chosen]
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `queries` the k rows of `vectors` with the greatest inner product."""
     spark = vectors.sparkSession
@@ -121,23 +142,21 @@ def _chunk(vectors: DataFrame, chunk: list, k: int, scale: int) -> DataFrame:
                     columns = np.ascontiguousarray(values[begins[some][:, None] + np.arange(n)].T)
                     norms = np.sqrt((columns**2).sum(axis=0))
                     for q, query in asked:
-                        if norms.max(initial=0) * np.sqrt((query**2).sum()) >= EXACT:
-                            raise ValueError("components are too large for exact scores")
                         have = kept.get(q)
+                        most = norms.max(initial=0) * np.sqrt((query**2).sum())
+                        if most >= EXACT:
+                            kept[q] = _merged(have, whole(ids, columns, q, query, k, most), k)
+                            continue
                         bound = -np.inf if have is None or len(have[0]) < k else have[1][-1]
                         if bound == -np.inf and len(ids) > 2 * FIRST:
                             first = best(ids[:FIRST], columns[:, :FIRST], norms[:FIRST], q, query, k, -np.inf)
                             bound = first[1][-1] if len(first[1]) == k else -np.inf
                         new = best(ids, columns, norms, q, query, k, bound)
-                        if have is not None:
-                            new = (np.concatenate([have[0], new[0]]), np.concatenate([have[1], new[1]]))
-                            chosen = np.lexsort((new[0], -new[1]))[:k]
-                            new = (new[0][chosen], new[1][chosen])
-                        kept[q] = new
+                        kept[q] = _merged(have, new, k)
         if kept:
             ids = np.concatenate([i for i, _ in kept.values()])
-            scores = np.concatenate([s for _, s in kept.values()])
+            scores = np.concatenate([s.astype(np.int64) for _, s in kept.values()])
             asked_ids = np.repeat(list(kept), [len(i) for i, _ in kept.values()])
-            yield pa.RecordBatch.from_arrays([pa.array(asked_ids, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores.astype(np.int64), pa.int64())], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(asked_ids, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
 
     return integers(vectors, scale).mapInArrow(run, "query_id long, vec_id long, score long")

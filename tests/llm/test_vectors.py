@@ -105,6 +105,9 @@ def test_top_k(spark, monkeypatch):
     df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<float>, score int")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, df.where("vec_id % 100 = 0")).collect())
     assert got == brute_top(rows)
+    huge = [(i, [float(np.float32(x * 4e4)) for x in rng.normal(0, 1, 5)]) for i in range(120)] + [(i, [0.01 * i] * 5) for i in range(120, 140)]
+    big = spark.createDataFrame(huge, "vec_id long, embedding array<float>")
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(big, big.where("vec_id % 100 = 0")).collect()) == brute_top(huge)
     few = df.where("vec_id < 4")
     assert len(topk.search(few, few.where("vec_id % 100 = 0")).collect()) == 3
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
