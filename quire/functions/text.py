@@ -20,8 +20,6 @@ UNITS = r"(?i)(?:m/s|km|kg|mg|cm|mm|°C|Hz|Pa)(?![\p{L}\p{N}_])"
 BULLETS = ["- ", "• ", "● ", "▪ ", "◦ ", "* "]
 #: Any character from A to z, which takes in the signs between the cases.
 ENGLISH_PAGE = r"[A-z]"
-#: Ranges of Arabic script.
-ARABIC = "؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿"
 
 
 def ascii_folded(text: Column) -> Column:
