@@ -27,15 +27,16 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import bounded, slices
 
-#: Entries that a worker's table of distinct chunks may hold.
-TABLE = 300_000
+#: Entries of a worker's table of distinct chunks, which has a young and an old half: what is asked for again moves to the young one.
+TABLE = 250_000
 #: A chunk longer than this is encoded but not remembered.
 LONG = 64
 #: Unicode's White_Space, which is also what \s of the tokenizer's patterns means.
 SPACES = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _chunks = re.compile(f"[^{SPACES}]+").findall
 _odd = re.compile("[\x1c-\x1f]").search
-_NONE = 1 << 40
+_NONE = 1 << 62
+_SIGNS = frozenset(".,;:!?|")
 
 
 def byte_chars() -> list[str]:
@@ -80,12 +81,14 @@ class Codec:
         chars = byte_chars()
         self.inner = [vocab[c] for c in chars]
         self.last = [vocab[c + self.end] for c in chars]
-        #: (left id, right id) -> (rank, merged id)
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        #: (left id, right id) -> rank << 32 | merged id
+        self.merges = {(vocab[a], vocab[b]): rank << 32 | vocab[a + b] for rank, (a, b) in enumerate(model["merges"])}
+        self.written = [str(i) for i in range(max(self.tokens) + 1)]
         self.byte = {c: b for b, c in enumerate(chars)}
         self.joined = self._pairs(vocab, self.byte)
         self.fragments: dict[tuple[int, ...], list[int]] = {}
         self.table: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
 
     def _pairs(self, vocab: dict[str, int], byte: dict[str, int]) -> set[tuple[int, int]]:
         """The pairs of byte symbols that stand side by side inside some token; any other pair is a forced boundary."""
@@ -105,44 +108,41 @@ class Codec:
         """The merges of one fragment: always the pair of the lowest rank, from the left."""
         if len(ids) > 48:
             return self._merge_long(ids)
-        get, none = self.merges.get, (_NONE, 0)
-        while len(ids) > 1:
-            found = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
-            best = min(found)
-            if best is none:
+        get, ids = self.merges.get, [*ids]
+        ranks = [get(p, _NONE) for p in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == _NONE:
                 break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i < n - 1 and found[i] == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(best)
+            ids[i] = best & 0xFFFFFFFF
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), _NONE)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same by a heap of candidate pairs over a linked list: n log n steps for fragments of any length."""
         n, get = len(ids), self.merges.get
         ids, after, before = [*ids], [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(*m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
-        heap = [(r, i, a, b, new) for r, new, i, a, b in heap]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, new = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = new, _ = m & 0xFFFFFFFF, -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
                 if m := get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, new, ids[k], m[1]))
+                    heapq.heappush(heap, (m, i, new, ids[k]))
             h = before[i]
             if h >= 0 and (m := get((ids[h], new))):
-                heapq.heappush(heap, (m[0], h, ids[h], new, m[1]))
+                heapq.heappush(heap, (m, h, ids[h], new))
         return [x for x in ids if x >= 0]
 
     def word(self, word: str) -> list[int]:
@@ -167,7 +167,7 @@ class Codec:
         if found is None:
             found = self._merge(ids)
             if len(key) <= LONG:
-                if len(fragments) >= TABLE:
+                if len(fragments) >= TABLE // 2:
                     fragments.clear()
                 fragments[key] = found
         return found
@@ -177,6 +177,11 @@ class Codec:
         if unknown(chunk):
             return self._split_by_library(chunk)
         text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        # Letters alone, or with one sign at the end, need no pattern.
+        if text.isalpha():
+            return self.word(text)
+        if text[-1] in _SIGNS and text[:-1].isalpha():
+            return self.word(text[:-1]) + self.word(text[-1])
         return [i for w in self.words(text) for i in self.word(w)]
 
     def _split_by_library(self, chunk: str) -> list[int]:
@@ -203,12 +208,15 @@ class Codec:
         return out
 
     def _missed(self, chunk: str) -> tuple[str, str]:
-        ids = self.chunk(chunk)
-        found = (" ".join(map(str, ids)), self.decode(ids))
-        if len(chunk) <= LONG:
-            if len(self.table) >= TABLE:
-                self.table.clear()
-            self.table[chunk] = found
+        found = self.older.get(chunk)
+        if found is None:
+            ids = self.chunk(chunk)
+            found = (" ".join([self.written[i] for i in ids]), self.decode(ids))
+            if len(chunk) > LONG:
+                return found
+        if len(self.table) >= TABLE:
+            self.older, self.table = self.table, {}
+        self.table[chunk] = found
         return found
 
     def round_trip(self, text: str) -> tuple[str, str]:
@@ -217,8 +225,11 @@ class Codec:
             ids = self.encode(text)
             return " ".join(map(str, ids)), self.decode(ids)
         chunks = _chunks(text) if _odd(text) else text.split()
-        get, missed = self.table.get, self._missed
-        found = [get(c) or missed(c) for c in chunks]
+        missed = self._missed
+        found = []
+        for at in range(0, len(chunks), 4096):
+            get = self.table.get  # a full table is replaced
+            found += [get(c) or missed(c) for c in chunks[at : at + 4096]]
         ids, tokens = zip(*found, strict=False) if found else ((), ())
         return " ".join(filter(None, ids)), " ".join(filter(None, tokens))
 
