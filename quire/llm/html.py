@@ -3,7 +3,8 @@
 A tag soup is read into a tree: end tags that may be left out are implied, void elements close themselves, scripts and styles
 are taken whole. Rendering walks the tree under visibility rules (no head, script, style, template, hidden or display:none) and
 emits all visible text: blocks on lines of their own, a blank line around paragraphs and headings, marks for list items, and
-table cells padded to the width of their columns.
+table cells padded to the width of their columns. Cells without a written row get one; what stands in a table, a section or a
+row but in no cell comes before the table.
 
 Defined results: null or empty HTML gives an empty text. Broken markup never fails: what is no tag is text, and what is never
 closed ends with the page. Depth is bounded by DEPTH; deeper elements are read into the one at that depth. Repeated rows each
@@ -29,6 +30,8 @@ RAW = frozenset("script style textarea title xmp noembed noframes".split())
 HIDDEN = frozenset("head script style template title noscript svg math iframe object canvas audio video select datalist".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
+#: What a table is made of.
+PARTS = frozenset("tbody thead tfoot tr td th colgroup".split())
 #: A start tag on the left ends the open elements on the right, up to the nearest of those after the bar.
 _P = "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
 IMPLIED = {t: (frozenset(["p"]), frozenset("button table td th li div article section body".split())) for t in _P} | {
@@ -109,6 +112,10 @@ def tree(source: str) -> Node:
                     start = int(value)
                 elif name == "alt" and tag == "img" and value:
                     stack[-1].children.append(html.unescape(value))
+        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot") and len(stack) < DEPTH:
+            row = Node("tr")
+            stack[-1].children.append(row)
+            stack.append(row)
         node = Node(tag, hidden, start)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -160,18 +167,53 @@ class Lines:
         return self.lines
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _parts(node: Node) -> bool:
+    """Whether rows or cells of the table around stand in the node, which then is none of the table's own elements."""
+    held = [node]
+    while held:
+        for c in held.pop().children:
+            if isinstance(c, Node) and not c.hidden:
+                if c.tag in PARTS:
+                    return True
+                if c.tag != "table":
+                    held.append(c)
+    return False
+
+
+def _rows(node: Node, rows: list[list[Node]], strays: list[Node], row: list[Node] | None = None) -> None:
+    """The rows of cells in the node, and what else is visible in it: a node for each run of siblings. row: where cells go that have no row of their own."""
+    run = None
     for c in node.children:
-        if isinstance(c, Node) and not c.hidden:
-            if c.tag == "tr":
-                yield c
-            elif c.tag in ("tbody", "thead", "tfoot"):
-                yield from _rows(c)
+        if isinstance(c, Node) and c.hidden:
+            continue
+        if isinstance(c, str) or c.tag not in PARTS and not _parts(c):
+            if run is None and not (isinstance(c, str) and not c.strip(" \t\n\r\f")):
+                strays.append(run := Node("div"))
+            if run is not None:
+                run.children.append(c)
+            continue
+        run = None
+        if c.tag in ("td", "th"):
+            if row is None:
+                rows.append(row := [])
+            row.append(c)
+        elif c.tag == "tr":
+            rows.append(own := [])
+            _rows(c, rows, strays, own)
+            row = None
+        elif c.tag in PARTS:
+            _rows(c, rows, strays)
+            row = None
+        else:
+            _rows(c, rows, strays, row)
 
 
-def _table(node: Node, depth: int) -> list[str]:
-    """The table's lines: cells of a column start at the same place."""
-    cells = [[_render(c, depth + 1) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden] for r in _rows(node)]
+def _table(node: Node, depth: int) -> tuple[list[list[str]], list[str]]:
+    """The lines of all that is in the table but in no cell, and those of the cells: cells of a column start at the same place."""
+    rows: list[list[Node]] = []
+    strays: list[Node] = []
+    _rows(node, rows, strays)
+    cells = [[_render(c, depth + 1) for c in row] for row in rows]
     widths: dict[int, int] = {}
     for row in cells:
         for j, cell in enumerate(row):
@@ -182,7 +224,7 @@ def _table(node: Node, depth: int) -> list[str]:
     for row in cells:
         for k in range(max(map(len, row), default=0)):
             out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[j]) for j, cell in enumerate(row)).rstrip(" "))
-    return out
+    return [_render(x, depth + 1) for x in strays], out
 
 
 def _render(node: Node, depth: int = 0) -> list[str]:
@@ -214,16 +256,11 @@ def _walk(node: Node, lines: Lines, depth: int) -> None:
             lines.gap = True
         elif tag == "table":
             lines.blank()
-            for cap in c.children:
-                if isinstance(cap, Node) and cap.tag == "caption" and not cap.hidden:
-                    lines.put(_render(cap, depth + 1))
-                elif isinstance(cap, Node) and cap.tag not in ("caption", "tr", "tbody", "thead", "tfoot", "colgroup", "col"):
-                    wrap = Node("div")
-                    wrap.children.append(cap)
-                    lines.put(_render(wrap, depth + 1))
-                elif isinstance(cap, str) and cap.strip(" \t\n\r\f"):
-                    lines.put([_white.sub(" ", cap).strip(" ")])
-            lines.put(_table(c, depth + 1))
+            # What is in no cell stands before the table, as browsers place it.
+            strays, aligned = _table(c, depth + 1)
+            for stray in strays:
+                lines.put(stray)
+            lines.put(aligned)
             lines.gap = True
         elif tag == "li":
             lines.line()

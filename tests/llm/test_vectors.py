@@ -128,6 +128,19 @@ def test_html():
     assert H.render("</p></div></table>x") == "x"
 
 
+def test_html_tables_lose_nothing():
+    assert H.render("<table><thead><th>A<th>B</thead><tbody><td>x<td>y</table>") == "A  B\nx  y"
+    assert H.render("<table><tbody><td>a</td></tr><td>b</table>z") == "a\nb\n\nz"
+    assert H.render("<table><td>a<td>b<tr><td>c</table>") == "a  b\nc"
+    assert H.render("<table><tbody><form><tr><td>a<td>b</tr></form></tbody></table>") == "a  b"
+    assert H.render("<table><tr><form><td>a<td>b</form><td>c</table>") == "a  b  c"
+    assert H.render("<table><tbody>s <b>t</b> <i>u</i><tr>v<div>w</div><td>x</td></tr><p>y</p></tbody></table>") == "s t u\nv\nw\ny\nx"
+    assert H.render("<table><colgroup><col><tr><td>x<td>y</table>") == "x  y"
+    assert H.render("<table><caption>T<tr><td>x<td>y</table>") == "T\nx  y"
+    assert H.render("<table><tr><td>o<table><td>i</table>p<td>q</table>").split() == ["o", "q", "i", "p"]
+    assert H.render("<table><tbody hidden><td>no</tbody><tr hidden><td>no<tr><td hidden>no<td>x<template>no</template></table>") == "x"
+
+
 def test_html_holds_every_visible_word(spark):
     """Against a plain strip of tags: same words in the same order, apart from list marks."""
     import html as std
