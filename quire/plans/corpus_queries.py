@@ -34,8 +34,8 @@ def document_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def family_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's split; a family is never divided."""
-    return C.families(_docs(spark, sf_dir)).select("doc_id", "family", C.split_of(F.col("family")).alias("split"))
+    """Every document's split; a family of near copies is never divided."""
+    return C.near_families(_docs(spark, sf_dir)).select("doc_id", "family", C.split_of(F.col("family")).alias("split"))
 
 
 @query(f"WITH {_FAMILY_SQL}, s AS (SELECT family, CASE WHEN doc_id % 10 < 7 THEN 'train' ELSE 'test' END AS split FROM f) SELECT family, count(DISTINCT split) AS splits, count(*) AS documents FROM s GROUP BY family HAVING count(DISTINCT split) > 1")
