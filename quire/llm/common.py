@@ -66,8 +66,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int
 def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, folds: int, left_out: int, rows: int) -> DataFrame:
     """(doc_id, text, label) of at most `rows` labelled documents outside the fold left out, the bound being a documented parameter.
 
-    The rows are those with the least hash of the id, so that the choice is the same at every run and spread over all
-    sources. Null ids and null labels take no part; of several labels of one id the largest holds.
+    The documents are those with the least hash of the id, so that the choice is the same at every run and spread over all
+    sources. Null ids and null labels take no part; of several labels of one id the largest holds, of several rows of one id
+    that with the least hash of its text, so that no id gives more than a row.
     """
     chosen = (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
@@ -77,5 +78,7 @@ def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    # `rows` bounds the side that is broadcast.
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # `rows` bounds the side that is broadcast, and what is left after one row an id.
+    found = docs.select("doc_id", F.struct(F.xxhash64(text).alias("hash"), text.alias("text")).alias("own")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("own").alias("own")).select("doc_id", "own.text", "label")

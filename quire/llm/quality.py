@@ -3,8 +3,8 @@
 A document is a sparse vector: the shares of its words in hash buckets, and one-hot quantile bins of structure statistics and
 size. The machine adds low-rank interactions of all pairs to a linear score; the identity
     sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)
-makes that linear in the number of non-zeros. It is fitted on the driver, on a sample of at most ROWS labelled rows (the bound
-is a parameter); scoring is one pass over all rows without a shuffle. Language, source and ids are never inputs.
+makes that linear in the number of non-zeros. It is fitted in one task, on a sample of at most ROWS labelled rows (the bound is
+a parameter), one a document; scoring is one pass over all rows without a shuffle. Language, source and ids are never inputs.
 
 Defined results: null and empty texts have no words and the statistics of an empty text, and get the score of that vector.
 Without labels of both classes the score is the share of label 1 (0.5 without any). Repeated rows each get their row.
@@ -13,6 +13,7 @@ Without labels of both classes the score is the share of label 1 (0.5 without an
 from __future__ import annotations
 
 import dataclasses
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -140,85 +141,31 @@ def train(buckets: list[np.ndarray], shares: list[np.ndarray], rows: np.ndarray,
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, left_out: int = LEFT_OUT, rows: int = ROWS) -> Machine:
-    """A machine for the labels outside the fold left out. The driver gets word buckets and statistics of at most `rows` documents."""
+    """A machine for the labels outside the fold left out, fitted in one task on at most `rows` documents; the driver gets its weights alone."""
+    kinds = {"label": pa.int32(), "buckets": pa.list_(pa.int32()), "shares": pa.list_(pa.float32()), "stats": pa.list_(pa.float64())}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             buckets, shares, stats = features(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([b.astype(np.int32) for b in buckets], pa.list_(pa.int32())), pa.array([s.astype(np.float32) for s in shares], pa.list_(pa.float32())), pa.array(list(stats), pa.list_(pa.float64()))], ["doc_id", "label", "buckets", "shares", "stats"])
-
-    sample = labelled(spark, docs, labels, label, folds, left_out, rows).select("doc_id", "label", "text")
-    got = sample.mapInArrow(run, "doc_id long, label int, buckets array<int>, shares array<float>, stats array<double>").toArrow().sort_by([("doc_id", "ascending")])
-    ints, reals, stats = (got.column(c).combine_chunks() if got.num_rows else pa.array([], got.schema.field(c).type) for c in ("buckets", "shares", "stats"))
-    # Views of the Arrow buffers, not Python numbers.
-    ends = np.cumsum(ints.value_lengths().to_numpy(zero_copy_only=False))[:-1] if len(ints) else []
-    parts = lambda a: np.split(a.flatten().to_numpy(zero_copy_only=False), ends) if len(a) else []
-    rows_of = stats.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS)
-    return train(parts(ints), parts(reals), rows_of, got.column("label").to_numpy().astype(np.float64))
-
-
-def score(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.raw(*self.vectors(*features(texts))), -30, 30)))
-
-
-def _vectors(edges, buckets, shares, rows):
-    bins = np.stack([np.searchsorted(edges[j], rows[:, j], side="right") + BUCKETS + j * BINS for j in range(STATISTICS)], axis=1)
-    index = np.concatenate([np.concatenate([b, s]) for b, s in zip(buckets, bins, strict=True)])
-    # Words weigh as much as a few statistics, whatever the length of the text.
-    value = np.concatenate([np.concatenate([2.0 * np.sqrt(v), np.full(STATISTICS, 0.5)]) for v in shares])
-    first = np.concatenate([[0], np.cumsum([len(b) + STATISTICS for b in buckets])[:-1]]).astype(np.int64)
-    return index.astype(np.int64), value, first
+            found = [[b.astype(np.int32) for b in buckets], [s.astype(np.float32) for s in shares], list(stats)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *(pa.array(x, t) for x, t in zip(found, list(kinds.values())[1:], strict=True))], ["doc_id", *kinds])
 
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = fitted(pa.Table.from_batches(batches, pa.schema(kinds)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((own.edges, own.bias, own.linear, own.pairs))], pa.binary())], ["machine"])
 
-def train(buckets: list[np.ndarray], shares: list[np.ndarray], rows: np.ndarray, labels: np.ndarray, epochs: int = 12, seed: int = 7) -> Machine:
-    """Fits by AdaGrad on the logistic loss, in batches."""
-    size = BUCKETS + STATISTICS * BINS
-    rate = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
-    rng = np.random.default_rng(seed)
-    edges = np.quantile(rows, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if len(rows) else np.zeros((STATISTICS, BINS - 1))
-    own = Machine(edges, float(np.log(rate / (1 - rate))), np.zeros(size), rng.normal(0, 0.05, (size, RANK)))
-    if len(set(labels.tolist())) < 2:
-        own.pairs[:] = 0
-        return own
-    index, value, first = _vectors(edges, buckets, shares, rows)
-    ends = np.append(first[1:], len(index))
-    seen_linear, seen_pairs = np.full(size, 1e-3), np.full((size, RANK), 1e-3)
-    for _ in range(epochs):
-        for some in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // 64)):
-            at = np.concatenate([np.arange(first[d], ends[d]) for d in some])
-            i, v = index[at], value[at]
-            lengths = ends[some] - first[some]
-            begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            each = own.pairs[i] * v[:, None]
-            sums = np.add.reduceat(each, begins, axis=0)
-            raw = own.bias + np.add.reduceat(own.linear[i] * v, begins) + 0.5 * ((sums**2).sum(axis=1) - np.add.reduceat((each**2).sum(axis=1), begins))
-            error = np.repeat((1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[some]) / len(some), lengths)
-            places, inverse = np.unique(i, return_inverse=True)
-            step = np.bincount(inverse, error * v) + 1e-5 * own.linear[places]
-            part = (error * v)[:, None] * (np.repeat(sums, lengths, axis=0) - each)
-            deep = np.stack([np.bincount(inverse, part[:, f]) for f in range(RANK)], axis=1) + 1e-5 * own.pairs[places]
-            seen_linear[places] += step**2
-            seen_pairs[places] += deep**2
-            own.linear[places] -= 0.15 * step / np.sqrt(seen_linear[places])
-            own.pairs[places] -= 0.05 * deep / np.sqrt(seen_pairs[places])
-            own.bias -= 0.05 * float(error[begins].sum())
-    return own
-
-
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, left_out: int = LEFT_OUT, rows: int = ROWS) -> Machine:
-    """A machine for the labels outside the fold left out. The driver gets word buckets and statistics of at most `rows` documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            buckets, shares, stats = features(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([b.astype(np.int32) for b in buckets], pa.list_(pa.int32())), pa.array([s.astype(np.float32) for s in shares], pa.list_(pa.float32())), pa.array(list(stats), pa.list_(pa.float64()))], ["doc_id", "label", "buckets", "shares", "stats"])
+    def fitted(got: pa.Table) -> Machine:
+        # Views of the Arrow buffers, not Python numbers.
+        label, ints, reals, stats = (got.column(c).combine_chunks() if got.num_rows else pa.array([], t) for c, t in kinds.items())
+        ends = np.cumsum(ints.value_lengths().to_numpy(zero_copy_only=False))[:-1] if len(ints) else []
+        parts = lambda x: np.split(x.flatten().to_numpy(zero_copy_only=False), ends) if len(x) else []
+        return train(parts(ints), parts(reals), stats.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS), label.to_numpy(zero_copy_only=False).astype(np.float64))
 
     sample = labelled(spark, docs, labels, label, folds, left_out, rows).select("doc_id", "label", "text")
-    got = sample.mapInArrow(run, "doc_id long, label int, buckets array<int>, shares array<float>, stats array<double>").toArrow().sort_by([("doc_id", "ascending")])
-    buckets = [np.asarray(x, dtype=np.int64) for x in got.column("buckets").to_pylist()]
-    shares = [np.asarray(x, dtype=np.float64) for x in got.column("shares").to_pylist()]
-    stats = np.asarray(got.column("stats").to_pylist(), dtype=np.float64).reshape(-1, STATISTICS)
-    return train(buckets, shares, stats, np.asarray(got.column("label").to_pylist(), dtype=np.float64))
+    told = sample.mapInArrow(described, "doc_id long, label int, buckets array<int>, shares array<float>, stats array<double>")
+    # `rows` bounds what meets in the one task.
+    got = told.repartition(1).sortWithinPartitions("doc_id").select(*kinds).mapInArrow(trained, "machine binary").toArrow()
+    return Machine(*pickle.loads(got.column("machine")[0].as_py())) if got.num_rows else fitted(pa.table({c: pa.array([], t) for c, t in kinds.items()}))
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str] | None = None) -> DataFrame:
