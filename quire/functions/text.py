@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,15 +23,9 @@ BULLETS = ["- ", "• ", "● ", "▪ ", "◦ ", "* "]
 ENGLISH_PAGE = r"[A-z]"
 
 
-def ascii_folded(text: Column) -> Column:
-    """Every character outside printable ASCII as a question mark, so that lengths in bytes and characters agree."""
-    return F.regexp_replace(text, "[^ -~]", "?")
-
-
 def nfc(text: Column) -> Column:
     """Canonical composition; ASCII text is its own."""
 
-
     @pandas_udf("string")
     def composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
@@ -94,17 +89,6 @@ def protected_reasons(text: Column, kind: Column) -> Column:
     )
 
 
-#: Code points that stand for tokens; a line's two sides have no more distinct tokens than this.
-_ALPHABET = "".join(map(chr, range(0x4E00, 0x4E00 + 4000)))
-
-
-def token_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two token arrays: every distinct token becomes one character, and the strings' distance is the tokens'."""
-    known = F.array_distinct(F.concat(a, b))
-    coded = lambda side: F.array_join(F.transform(side, lambda t: F.substring(F.lit(_ALPHABET), F.array_position(known, t).cast("int"), F.lit(1))), "")
-    return F.levenshtein(coded(a), coded(b))
-
-
 def script_of(character: str) -> tuple[str, str]:
     """Script and direction of a character; Arabic comes first, so that its digits are Arabic."""
     code = ord(character)
@@ -115,27 +99,25 @@ def script_of(character: str) -> tuple[str, str]:
     return ("DIGIT", "LTR") if character.isdigit() else ("NEUTRAL", "NEUTRAL")
 
 
+class _Scripts(dict):
+    """A letter for the script of each code point that was met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = found = _LETTERS[script_of(chr(code))[0]]
+        return found
+
+
+_LETTERS = {"ARABIC": "A", "LATIN": "L", "DIGIT": "D", "NEUTRAL": "N"}
+_DIRECTIONS = {"A": ("ARABIC", "RTL"), "L": ("LATIN", "LTR"), "D": ("DIGIT", "LTR"), "N": ("NEUTRAL", "NEUTRAL")}
+_scripts = _Scripts()
+_run = re.compile("N*(?:(A)[AN]*|(L)[LN]*|(D)[DN]*)|N+")
+
+
 def segment(text: str | None) -> list[dict]:
     """Runs of one script; neutral characters belong to the run before them, leading ones to the first run."""
-    runs: list[list[str]] = []
-    lead = ""
-    for c in text or "":
-        script, direction = script_of(c)
-        if script == "NEUTRAL":
-            if runs:
-                runs[-1][0] += c
-            else:
-                lead += c
-        elif runs and runs[-1][1] == script:
-            runs[-1][0] += c
-        else:
-            runs.append([c, script, direction])
-    if lead:
-        if runs:
-            runs[0][0] = lead + runs[0][0]
-        else:
-            runs = [[lead, "NEUTRAL", "NEUTRAL"]]
-    return [dict(zip(("text", "script", "direction"), r, strict=True)) for r in runs]
+    text = text or ""
+    runs = ((m, _DIRECTIONS[m[m.lastindex] if m.lastindex else "N"]) for m in _run.finditer(text.translate(_scripts)))
+    return [{"text": text[m.start() : m.end()], "script": script, "direction": direction} for m, (script, direction) in runs]
 
 
 def script_runs(text: Column) -> Column:

@@ -131,19 +131,29 @@ def _remixed(k: int):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id of documents that hold a benchmark item's text whole; items of at least eight words.
+    """doc_id, item_id of documents that hold a benchmark item's text whole.
 
-    Both sides meet in the item's second to seventh word - the first and the last may be glued to what stands around them - so that
-    no document is held against every item; containment follows.
+    Both sides meet in the item's second to seventh word, or as many as it has between its first and its last - these two may be
+    glued to what stands around them - so that no document is held against every item; containment follows. An item of one or two
+    words has no word inside: it is found where its words are words of the text. Items without any word are in no document.
+    Hashes of windows alone are shuffled; texts come back for the pairs that met.
     """
-    words = 6
-    flat = lambda c: F.split(F.regexp_replace(c, "\n", " "), " ")
-    item = benchmark.select("item_id", F.col("text").alias("item"), flat("text").alias("w")).where("size(w) >= 8")
-    keys = item.select("item_id", "item", F.xxhash64(F.array_join(F.slice("w", 2, words), " ")).alias("h"))
-    windows = docs.select("doc_id", "text", flat("text").alias("t")).select("doc_id", "text", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("t", i, words), " ")))).alias("h"))
+    most = 6
+    flat = lambda c: F.filter(F.split(F.regexp_replace(c, "\n", " "), " "), lambda w: w != "")
+    inner = F.when(F.size("w") > 2, F.least(F.size("w") - 2, F.lit(most))).otherwise(F.size("w"))
+    item = stored(benchmark.select("item_id", F.col("text").alias("item"), flat("text").alias("w")).where("size(w) > 0").withColumn("words", inner))
+    keys = item.select("item_id", "words", F.xxhash64("words", F.array_join(F.slice("w", F.when(F.size("w") > 2, 2).otherwise(1), F.col("words")), " ")).alias("h"))
+    # Only lengths that some item has are cut from the documents: at most `most`.
+    lengths = sorted(r.words for r in keys.select("words").distinct().collect())
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("t", i, n), " ")))
+    none = F.expr("cast(array() as array<bigint>)")
+    told = docs.where("text is not null").select("doc_id", flat("text").alias("t"))
+    windows = told.select("doc_id", F.explode(F.array_distinct(F.concat(none, *[F.when(F.size("t") >= n, cut(n)).otherwise(none) for n in lengths]))).alias("h"))
     # The items' keys are bounded by the benchmark, whose size is checked before they are broadcast.
-    side = F.broadcast(keys) if benchmark.count() <= 100_000 else keys
-    return windows.join(side, "h").where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
+    side = F.broadcast(keys) if item.count() <= 100_000 else keys
+    met = windows.join(side, "h").select("doc_id", "item_id").distinct()
+    texts = met.join(docs.select("doc_id", "text"), "doc_id").join(item.select("item_id", "item"), "item_id")
+    return texts.where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
 
 
 def quota_sample(rows: DataFrame, strata: list[str], key: str, quota: int) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as T
+from quire.operators.pages import by_page
 from quire.sources.derived import VISUAL
 
 #: Height of the bands that lines and regions meet in, so that a long page is no product of its lines and regions.
@@ -96,8 +96,10 @@ def blocks(lines: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def hypothesis(found: DataFrame) -> DataFrame:
-    """A second provider's view of blocks: some missing, shifted, misread or of another type."""
+    """A second provider's view of blocks: some missing, shifted, emptied, misread or of another type, and some that only it has, off the page."""
     s = F.col("doc_id") + F.col("ord")
+    text = F.col("literal")
+    read = F.when(s % 23 == 0, "").when(s % 29 == 0, F.regexp_replace(text, "[a-z]", "#")).when(s % 7 == 0, F.replace(text, F.lit("e"), F.lit("c"))).otherwise(text)
     moved = found.where((s % 11) != 0).select(
         "doc_id",
         "ord",
@@ -107,10 +109,11 @@ def hypothesis(found: DataFrame) -> DataFrame:
         "width",
         "height",
         "confidence",
-        F.when(s % 7 == 0, F.replace("literal", F.lit("e"), F.lit("c"))).otherwise(F.col("literal")).alias("literal"),
+        read.alias("literal"),
         "unresolved",
     )
-    return moved.withColumn("reading_order", F.row_number().over(Window.partitionBy("doc_id").orderBy("y", F.desc("x"), "ord")).cast("long") - 1)
+    own = found.where((s % 17) == 0).select("doc_id", (F.col("ord") + 2000000).alias("ord"), F.lit("BODY_PARAGRAPH").alias("block_type"), (F.col("x") + 2000).alias("x"), "y", "width", "height", "confidence", F.lit("only here").alias("literal"), F.lit(False).alias("unresolved"))
+    return moved.unionByName(own).withColumn("reading_order", F.row_number().over(Window.partitionBy("doc_id").orderBy("y", F.desc("x"), "ord")).cast("long") - 1)
 
 
 def parallel(found: DataFrame) -> DataFrame:
@@ -128,11 +131,11 @@ def parallel(found: DataFrame) -> DataFrame:
 # page's few columns of numbers.
 
 
-def _side_by_side(b: pd.DataFrame) -> bool:
-    x, y, w, h = (b[c].to_numpy(float) for c in ("x", "y", "width", "height"))
+def _side_by_side(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> bool:
     order = np.argsort(y, kind="stable")
-    for k, i in enumerate(order):
-        for j in order[k + 1 :]:
+    x, y, w, h = (v[order].tolist() for v in (x, y, w, h))
+    for i in range(len(x)):
+        for j in range(i + 1, len(x)):
             if y[j] >= y[i] + h[i] and h[i] > 0:
                 break  # all that follow begin below
             least = min(h[i], h[j])
@@ -141,58 +144,56 @@ def _side_by_side(b: pd.DataFrame) -> bool:
     return False
 
 
-def columns_of(b: pd.DataFrame, page_width: float) -> list[int]:
-    """Row labels of a band's blocks in order: columns from right to left, each from the top."""
-    b = b.sort_values(["y", "x", "at"], ascending=[True, False, True], kind="stable")
-    if len(b) < 2 or not _side_by_side(b):
-        return b.index.tolist()
-    centre = b["x"] + b["width"] / 2
-    reach = max(page_width * 0.12, float(b["width"].median()) * 0.35)
-    groups: list[list[int]] = []
+def columns_of(rows: np.ndarray, boxes: np.ndarray, page_width: float) -> list[int]:
+    """A band's rows in order, columns from right to left. They come from the top, of equals the rightmost first; boxes: x, y, width, height."""
+    if len(rows) < 2 or not _side_by_side(*boxes[:, rows]):
+        return rows.tolist()
+    centre = boxes[0] + boxes[2] / 2
+    reach = max(page_width * 0.12, float(np.median(boxes[2, rows])) * 0.35)
+    groups: list[list[int]] = []  # places among the rows
     sums: list[float] = []
-    for label in centre.sort_values(ascending=False, kind="stable").index:
-        c = float(centre[label])
+    for k in np.argsort(-centre[rows], kind="stable").tolist():
+        c = float(centre[rows[k]])
         for g, total in enumerate(sums):
             if abs(c - total / len(groups[g])) <= reach:
-                groups[g].append(label)
+                groups[g].append(k)
                 sums[g] += c
                 break
         else:
-            groups.append([label])
+            groups.append([k])
             sums.append(c)
     ranked = sorted(range(len(groups)), key=lambda g: -sums[g] / len(groups[g]))
-    return [label for g in ranked for label in b.index[b.index.isin(groups[g])]]
+    return [int(rows[k]) for g in ranked for k in sorted(groups[g])]
 
 
-def page_order(page: pd.DataFrame, page_width: float) -> list[int]:
-    """Row labels of a page's blocks in reading order; wide blocks part the page into bands. A separator of no height may come twice."""
-    page = page.sort_values(["y", "x", "at"], ascending=[True, False, True], kind="stable")
-    wide = page[page["width"] >= 0.68 * page_width]
-    if len(page) <= 1 or not len(wide):
-        return columns_of(page, page_width)
+def page_order(boxes: np.ndarray, page_width: float) -> list[int]:
+    """Places of a page's blocks in reading order; wide blocks part the page into bands. A separator of no height may come twice."""
+    x, y, w, h = boxes
+    rows = np.lexsort((-x, y))
+    wide = rows[w[rows] >= 0.68 * page_width]
+    if len(rows) <= 1 or not len(wide):
+        return columns_of(rows, boxes, page_width)
     out: list[int] = []
     begin = 0.0
-    for label, s in wide.iterrows():
-        band = page[(page.index != label) & (page["y"] >= begin) & (page["y"] < s["y"])]
-        out += [*columns_of(band, page_width), label]
-        begin = s["y"] + s["height"]
-    done = set(out)
-    tail = page[~page.index.isin(done) & ~page.index.isin(wide.index) & (page["y"] >= begin)]
-    out += columns_of(tail, page_width)
+    for at in wide.tolist():
+        band = rows[(rows != at) & (y[rows] >= begin) & (y[rows] < y[at])]
+        out += [*columns_of(band, boxes, page_width), at]
+        begin = float(y[at] + h[at])
+    left = rows[~np.isin(rows, out)]
+    out += columns_of(left[(w[left] < 0.68 * page_width) & (y[left] >= begin)], boxes, page_width)
     done = set(out)
-    return out + [i for i in page.index if i not in done]
+    return out + [i for i in rows.tolist() if i not in done]
 
 
 def reading_order(found: DataFrame, page_width: float) -> DataFrame:
     """doc_id, ord, position of every block, by columns and bands."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord").reset_index(drop=True)
-        page["at"] = range(len(page))
-        order = page_order(page, page_width)
-        return pd.DataFrame({"doc_id": page["doc_id"].iloc[order].to_numpy(), "ord": page["ord"].iloc[order].to_numpy(), "position": np.arange(len(order))})
+    def work(page: dict[str, np.ndarray]) -> list[tuple]:
+        order = page_order(np.stack([page[c] for c in ("x", "y", "width", "height")]), page_width)
+        ords = page["ord"].tolist()
+        return [(int(page["doc_id"][0]), ords[i], k) for k, i in enumerate(order)]
 
-    return found.select("doc_id", "ord", "x", "y", "width", "height").groupBy("doc_id").applyInPandas(run, "doc_id long, ord long, position long")
+    return by_page(found.where("doc_id is not null").select("doc_id", "ord", "x", "y", "width", "height"), ["doc_id"], ["ord"], work, "doc_id long, ord long, position long")
 
 
 def clustered(values: list[float], reach: float) -> list[list[int]]:
@@ -243,13 +244,13 @@ def tables(lines: DataFrame, regions: DataFrame) -> DataFrame:
     """doc_id, ord, rows, columns, row, column, text of the cells of every region of type TABLE that holds a grid."""
     held = lines.join(regions.where("block_type = 'TABLE'").select("doc_id", "ord", F.col("width").alias("region_width")), ["doc_id", "ord"])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ln")
-        table = inferred_table(group[["text", "x", "y", "width", "height"]].to_dict("records"), float(group["region_width"].iloc[0]))
-        cells = table["cells"] if table else []
-        return pd.DataFrame([(group["doc_id"].iloc[0], group["ord"].iloc[0], table["rows"], table["columns"], c["row"], c["column"], c["text"]) for c in cells], columns=["doc_id", "ord", "rows", "columns", "row", "column", "text"])
+    def work(group: dict[str, np.ndarray]) -> list[tuple]:
+        columns = ("text", "x", "y", "width", "height")
+        table = inferred_table([dict(zip(columns, row, strict=True)) for row in zip(*(group[c].tolist() for c in columns), strict=True)], float(group["region_width"][0]))
+        return [(int(group["doc_id"][0]), int(group["ord"][0]), table["rows"], table["columns"], c["row"], c["column"], c["text"]) for c in (table["cells"] if table else [])]
 
-    return held.groupBy("doc_id", "ord").applyInPandas(run, "doc_id long, ord long, rows long, columns long, row long, column long, text string")
+    kept = held.where("doc_id is not null").select("doc_id", "ord", "ln", "text", "x", "y", "width", "height", "region_width")
+    return by_page(kept, ["doc_id", "ord"], ["ln"], work, "doc_id long, ord long, rows long, columns long, row long, column long, text string")
 
 
 def table_literal(cells: DataFrame) -> DataFrame:

@@ -121,14 +121,13 @@ def table_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_cells(spark, sf_dir)
 
 
-_CELLS_SQL = f"""{S.REGIONS_SQL}, cells AS (SELECT doc_id, col AS ord, r % 4 AS "row", ln % 3 AS "column", min_by(text, ln) AS text, 4 AS rows_n, 3 AS cols_n
-  FROM lines WHERE r < 8 AND (doc_id + ln) % 5 <> 0 GROUP BY doc_id, col, r % 4, ln % 3)"""
+_CELLS_SQL = f"""{S.LINES_SQL}, cells AS (SELECT doc_id, (r // 12) * 2 + col AS ord, (r % 12) // 3 AS "row", r % 3 AS "column", text FROM lines)"""
 
 
 def modular_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of one table a column, by arithmetic, some missing."""
-    lines = S.lines(spark, sf_dir).where("r < 8 and (doc_id + ln) % 5 <> 0")
-    return lines.groupBy("doc_id", F.col("col").alias("ord"), (F.col("r") % 4).alias("row"), (F.col("ln") % 3).alias("column")).agg(F.min_by("text", "ln").alias("text")).withColumn("rows", F.lit(4).cast("long")).withColumn("columns", F.lit(3).cast("long"))
+    """Tables of four rows and three columns: twelve lines of a column after another; a column's last table lacks cells."""
+    lines = S.lines(spark, sf_dir)
+    return lines.select("doc_id", F.expr("(r div 12) * 2 + col").alias("ord"), F.expr("(r % 12) div 3").alias("row"), (F.col("r") % 3).alias("column"), "text", F.lit(4).cast("long").alias("rows"), F.lit(3).cast("long").alias("columns"))
 
 
 @query(f"""WITH {_CELLS_SQL}, grid AS (SELECT t.doc_id, t.ord, i.i, j.j FROM (SELECT DISTINCT doc_id, ord FROM cells) t, range(4) i(i), range(3) j(j)),

@@ -67,7 +67,7 @@ def formatting_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.instructed(found, instructions).select("doc_id", "ord", "block_type", "points", F.md5(F.col("literal").cast("binary")).alias("literal_md5"))
 
 
-@query(f"""WITH {S.LINES_SQL}, cells AS (SELECT DISTINCT doc_id, col AS ord, r % 4 AS "row", ln % 3 AS "column" FROM lines WHERE r < 8 AND (doc_id + ln) % 5 <> 0)
+@query(f"""WITH {S.LINES_SQL}, cells AS (SELECT doc_id, (r // 12) * 2 + col AS ord, (r % 12) // 3 AS "row", r % 3 AS "column" FROM lines)
 SELECT doc_id, ord, "row", "column", CAST(least(2, "row" + doc_id % 3) AS BIGINT) AS last_row, CAST(least(2, "column" + 1) AS BIGINT) AS last_column, "row" = 0 AS header FROM cells WHERE "row" < 3""")
 def table_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = modular_cells(spark, sf_dir).withColumns({"rows": F.lit(3).cast("long"), "row_span": F.col("doc_id") % 3 + 1, "column_span": F.lit(2).cast("long")})

@@ -30,7 +30,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "raw"))
     two = F.col("doc_id") % 3 == 0
     ln = F.col("ln").cast("long")
-    placed = split.select("doc_id", ln.alias("ln"), F.substring("raw", 1, 200).alias("text"), F.when(two, ln % 2).otherwise(0).alias("col"), F.when(two, F.expr("cast(ln as bigint) div 2")).otherwise(ln).alias("r"))
+    placed = split.select("doc_id", ln.alias("ln"), F.col("raw").alias("text"), F.when(two, ln % 2).otherwise(0).alias("col"), F.when(two, F.expr("cast(ln as bigint) div 2")).otherwise(ln).alias("r"))
     width = F.least(F.when(two, 350).otherwise(800), 40 + 3 * F.length("text"))
     return placed.select(
         "doc_id",
@@ -63,7 +63,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES_SQL = """
 s AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
 e AS (SELECT doc_id, unnest(a) AS raw, generate_subscripts(a, 1) - 1 AS ln FROM s),
-p AS (SELECT doc_id, ln, substr(raw, 1, 200) AS text,
+p AS (SELECT doc_id, ln, raw AS text,
              CASE WHEN doc_id % 3 = 0 THEN ln % 2 ELSE 0 END AS col,
              CASE WHEN doc_id % 3 = 0 THEN ln // 2 ELSE ln END AS r FROM e),
 lines AS (SELECT doc_id, ln, col, r, text,
@@ -135,8 +135,9 @@ typed AS (SELECT *, CASE
     ELSE 'UNKNOWN' END AS block_type FROM raw_blocks),
 blocks AS (SELECT *, confidence < 0.7E0 OR block_type = 'UNKNOWN' AS unresolved,
              row_number() OVER (PARTITION BY doc_id ORDER BY y, x DESC, ord) - 1 AS reading_order FROM typed),
-hyp AS (SELECT doc_id, ord, CASE WHEN (doc_id + ord) % 13 = 0 THEN 'BODY_PARAGRAPH' ELSE block_type END AS block_type,
+moved AS (SELECT doc_id, ord, CASE WHEN (doc_id + ord) % 13 = 0 THEN 'BODY_PARAGRAPH' ELSE block_type END AS block_type,
           x + ord % 5 AS x, y + ord % 5 AS y, width, height, confidence,
-          CASE WHEN (doc_id + ord) % 7 = 0 THEN replace(literal, 'e', 'c') ELSE literal END AS literal, unresolved,
-          row_number() OVER (PARTITION BY doc_id ORDER BY y + ord % 5, x + ord % 5 DESC, ord) - 1 AS reading_order
-        FROM blocks WHERE (doc_id + ord) % 11 <> 0)"""
+          CASE WHEN (doc_id + ord) % 23 = 0 THEN '' WHEN (doc_id + ord) % 29 = 0 THEN regexp_replace(literal, '[a-z]', '#', 'g') WHEN (doc_id + ord) % 7 = 0 THEN replace(literal, 'e', 'c') ELSE literal END AS literal, unresolved
+        FROM blocks WHERE (doc_id + ord) % 11 <> 0
+  UNION ALL SELECT doc_id, ord + 2000000, 'BODY_PARAGRAPH', x + 2000, y, width, height, confidence, 'only here', FALSE FROM blocks WHERE (doc_id + ord) % 17 = 0),
+hyp AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y, x DESC, ord) - 1 AS reading_order FROM moved)"""

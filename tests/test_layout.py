@@ -1,22 +1,26 @@
 """Layout rules on small inline pages."""
 
 import random
+import re
+import unicodedata
 
-import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quire.functions import geometry as G
 from quire.functions import text as T
+from quire.functions.distance import distance, edit_distance
 from quire.operators import layout as L
 from quire.operators import matching as M
+from quire.operators import metrics as E
 
 LINE = "doc_id long, ln long, text string, x double, y double, width double, height double, conf100 long"
 REGION = "doc_id long, ord long, block_type string, x double, y double, width double, height double, conf100 long"
 
 
 def order(blocks, width=1000.0):
-    page = pd.DataFrame([(i, *b[1:]) for i, b in enumerate(blocks)], columns=["at", "x", "y", "width", "height"])
-    return [blocks[i][0] for i in L.page_order(page, width)]
+    boxes = np.asarray([b[1:] for b in blocks], dtype=float).reshape(-1, 4).T
+    return [blocks[i][0] for i in L.page_order(boxes, width)]
 
 
 def test_two_columns_from_the_right():
@@ -89,20 +93,62 @@ def test_runs_hold_the_text(spark, text):
         assert runs[0]["script"] == "ARABIC"
 
 
-def test_token_distance_by_brute_force(spark):
-    rng = random.Random(5)
-    pairs = [([rng.choice("abcd") for _ in range(rng.randint(0, 9))], [rng.choice("abcd") for _ in range(rng.randint(0, 9))]) for _ in range(60)]
+def plain_distance(a, b):
+    row = np.arange(len(b) + 1)
+    codes = {x: i for i, x in enumerate({*a, *b})}
+    other = np.asarray([codes[y] for y in b])
+    for i, x in enumerate(a, 1):
+        # Without insertions, then with: the least of what stands left of a place, a step each.
+        up = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (other != codes[x]))])
+        row = np.minimum.accumulate(up - np.arange(len(b) + 1)) + np.arange(len(b) + 1)
+    return int(row[-1])
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
 
+def test_distances_by_brute_force(spark):
+    rng = random.Random(5)
+    pairs = [([rng.choice("abcd") for _ in range(rng.randint(0, 9))], [rng.choice("abcd") for _ in range(rng.randint(0, 9))]) for _ in range(60)]
+    pairs += [(["x", "y"], []), ([], []), (list("كتاب"), list("كتب"))]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
-    assert {r.i: r.d for r in df.select("i", T.token_distance(F.col("a"), F.col("b")).alias("d")).collect()} == {i: distance(a, b) for i, (a, b) in enumerate(pairs)}
+    wanted = {i: plain_distance(a, b) for i, (a, b) in enumerate(pairs)}
+    assert {r.i: r.d for r in df.select("i", distance(F.col("a"), F.col("b")).alias("d")).collect()} == wanted
+    text = lambda c: F.array_join(c, "")
+    assert {r.i: r.d for r in df.select("i", distance(text("a"), text("b")).alias("d")).collect()} == wanted
+
+
+@pytest.mark.parametrize("n", [5000, 20000])
+def test_distance_of_many_distinct_tokens(n):
+    assert edit_distance([f"a{i}" for i in range(n)], [f"b{i}" for i in range(n)]) == n
+    rng = random.Random(n)
+    a = [str(rng.randint(0, n)) for _ in range(n // 4)]
+    b = [x if rng.random() < 0.8 else str(rng.randint(0, n)) for x in a if rng.random() < 0.9]
+    assert edit_distance(a, b) == plain_distance(a, b)
+
+
+def test_pages_are_measured_whole(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abeé25,٣ ") for _ in range(rng.randint(1, 9)))
+    schema = "doc_id long, ord long, reading_order long, literal string"
+    truth = [(d, o, o, " ".join(word() for _ in range(60))) for d in range(4) for o in range(3)]
+    theirs = [(d, o, o, t.replace("e", "c") if o else t[10:]) for d, o, _, t in truth if (d, o) != (2, 1) and d != 3]
+    page = lambda rows, d: "\n".join(unicodedata.normalize("NFC", t) for k, _, _, t in rows if k == d)
+    texts = E.page_text(spark.createDataFrame(truth, schema), F.col("literal")).withColumnRenamed("text", "a").join(E.page_text(spark.createDataFrame(theirs, schema), F.col("literal")).withColumnRenamed("text", "b"), "doc_id", "left").fillna("")
+    got = {r.doc_id: r for r in E.error_rates(texts).collect()}
+    tokens = {r.doc_id: r for r in E.token_accuracy(texts, {"digit": T.DIGITS, "english": T.ENGLISH, "punctuation": r"\p{P}"}).collect()}
+    for d in range(4):
+        a, b = page(truth, d), page(theirs, d)
+        assert (got[d].n_chars, got[d].distance, got[d].n_words, got[d].word_distance) == (len(a), plain_distance(a, b), len(a.split()), plain_distance(a.split(), b.split()))
+        assert got[d].cer == round(plain_distance(a, b) / len(a), 6) and got[d].wer == round(plain_distance(a.split(), b.split()) / len(a.split()), 6)
+        for name, pattern in (("digit", T.DIGITS), ("english", T.ENGLISH), ("punctuation", ",")):
+            p, q = re.findall(pattern, a), re.findall(pattern, b)
+            assert tokens[d][f"{name}_accuracy"] == round(max(0.0, 1 - plain_distance(p, q) / len(p)), 6)
+
+
+def test_unreviewed_pages_are_refused(spark):
+    pages = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    reviews = spark.createDataFrame([(1, True), (2, False)], "doc_id long, reviewed boolean")
+    assert [r.doc_id for r in E.gated(pages, reviews).collect()] == [1]
+    with pytest.raises(Exception, match="a human has reviewed"):
+        E.gated(pages, reviews, strict=True).collect()
 
 
 def test_greedy_matches_by_brute_force(spark):

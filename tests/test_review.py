@@ -89,6 +89,7 @@ def test_spans_and_contamination(spark):
     ranges = spark.createDataFrame([(1, 7, 0, 5), (1, 8, 1500, 1600)], "doc_id long, span long, `from` long, to long")
     assert sorted((r.span, r.start) for r in spans.inside(words.where("length > 0"), ranges).collect()) == [(7, 0), (7, 4), (8, 1507)]
     item = "one two three four five six seven eight nine"
-    bench = spark.createDataFrame([(5, item), (6, "too short")], "item_id long, text string")
-    texts = spark.createDataFrame([(1, f"x {item} y"), (2, "one two three four five six seven eight ten"), (3, None)], "doc_id long, text string")
-    assert [(r.doc_id, r.item_id) for r in C.contamination(texts, bench).collect()] == [(1, 5)]
+    bench = spark.createDataFrame([(5, item), (6, "too short"), (7, "few words here"), (8, "two  blanks\nhere"), (9, ""), (10, None), (11, "lone")], "item_id long, text string")
+    texts = spark.createDataFrame([(1, f"x {item} y"), (2, "one two three four five six seven eight ten"), (3, None), (4, "(few words here) not too short"), (5, "two blanks here, two  blanks\nhere"), (6, f"x{item}y alone"), (6, f"x{item}y alone"), (7, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in C.contamination(texts, bench).collect()) == [(1, 5), (4, 6), (4, 7), (5, 8), (6, 5)]
+    assert C.contamination(texts, bench.limit(0)).count() == 0
