@@ -2,20 +2,22 @@
 
 Sure findings are assignments of long values, access identifiers and long hex runs. Weak candidates - short assigned values,
 truncated access identifiers, user names and service endpoints - are reported only if complementary parts co-occur within their
-scope of SCOPE code points: a weak secret beside an identifier or an endpoint, a weak identifier beside a secret, an endpoint
-beside both. That is an interval join of parts by document and place, written as range windows, so that its cost grows with
-the number of parts, not of pairs.
+scope: a weak secret beside an identifier or an endpoint, a weak identifier beside a secret, an endpoint beside both. Two parts
+are beside each other if at most SCOPE code points lie between the end of one and the start of the other, or they overlap,
+however long they are.
 
 Places of matches come from splitting the text at the pattern and adding up lengths. Documents without any part, which are most,
-cost one look per pattern. One shuffle deals out parts by row (and the row's other columns, if they are kept); texts stay behind.
+cost one look per pattern. The interval join is one of a row's own parts, in its array: weak parts are held against the few
+parts that may complete them. Nothing is shuffled. The cost grows with the square of the parts of one text, not of the table.
 
-Defined results: a null text counts as empty; no findings, empty spans. Repeated rows each get theirs. Places are code points, ends
-exclusive; of equal places the order is that of KINDS.
+Defined results: a null text counts as empty; no findings, empty spans. Repeated rows each get theirs. Texts of any length are
+scanned whole. An empty table yields no rows. Places are code points, ends exclusive; of equal places the order is that of KINDS.
+Columns of the table may have any name but that of the text column, which is `text`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCOPE = 300
@@ -58,8 +60,8 @@ def _matches(text: Column, pattern: str, kind: str, group: int = 0, least: int =
 
 def scan(docs: DataFrame, keep: list[str], scope: int = SCOPE) -> DataFrame:
     """The columns `keep` in the struct `row`, and `spans`: array<struct<start, end, kind>> in order, of every row."""
-    text = F.col("__text")
-    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    text = F.col("text")
+    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = F.concat(
         _matches(text, ASSIGN, "assign", 2, 12, "weak_secret"),
         _matches(text, ACCESS, "access"),
@@ -68,28 +70,19 @@ def scan(docs: DataFrame, keep: list[str], scope: int = SCOPE) -> DataFrame:
         _matches(text, USER, "user"),
         _matches(text, ENDPOINT, "endpoint"),
     )
-    marker = F.struct(F.lit(-(1 << 30)).alias("start"), F.lit(0).alias("end"), F.lit("").alias("kind"))
-    # The row's own columns go with its marker alone.
-    dealt = (
-        frame.select("row", F.monotonically_increasing_id().alias("id"), F.concat(F.array(marker), parts).alias("parts"))
-        .select("row", "id", F.explode("parts").alias("p"))
-        .select("id", "p.start", "p.end", "p.kind", F.when(F.col("p.kind") == "", F.col("row")).alias("row"))
+    order = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
+    placed = frame.select("row", F.array_sort(F.transform(parts, lambda p: F.struct(p["start"].alias("start"), order(p["kind"]).alias("order"), p["end"].alias("end"), p["kind"].alias("kind")))).alias("parts"))
+    of = lambda *kinds: F.filter("parts", lambda p: p["kind"].isin(*kinds))
+    # One column for all groups: it is named often, so that the optimizer does not work it out anew for each part.
+    grouped = placed.select("row", F.struct("parts", of("assign", "weak_secret").alias("secret"), of("access", "weak_access", "user").alias("identifier"), of("endpoint").alias("endpoint")).alias("g"))
+    beside = lambda group, p: F.exists(F.col(f"g.{group}"), lambda q: (q["start"] - p["end"] <= scope) & (p["start"] - q["end"] <= scope))
+    reported = lambda p: (
+        F.when(p["kind"] == "weak_secret", beside("identifier", p) | beside("endpoint", p))
+        .when(p["kind"].isin("weak_access", "user"), beside("secret", p))
+        .when(p["kind"] == "endpoint", beside("secret", p) & beside("identifier", p))
+        .otherwise(True)
     )
-    near = Window.partitionBy("id").orderBy("start").rangeBetween(-scope, scope)
-    some = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(near)
-    linked = (
-        dealt.select("id", "start", "end", "kind", "row", some("assign", "weak_secret").alias("secret"), some("access", "weak_access", "user").alias("identifier"), some("endpoint").alias("endpoint"))
-        .where(
-            (F.col("kind") == "weak_secret") & (F.col("identifier") | F.col("endpoint"))
-            | F.col("kind").isin("weak_access", "user") & F.col("secret")
-            | (F.col("kind") == "endpoint") & F.col("secret") & F.col("identifier")
-            | F.col("kind").isin("", "assign", "access", "hex")
-        )
-    )
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    found = F.when(F.col("kind") != "", F.struct("start", order.alias("order"), "end", "kind"))
-    grouped = linked.groupBy("id").agg(F.first("row", ignorenulls=True).alias("row"), F.array_sort(F.collect_list(found)).alias("spans"))
-    return grouped.select("row", "spans")
+    return grouped.select("row", F.filter("g.parts", reported).alias("spans"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
