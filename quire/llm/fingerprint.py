@@ -3,13 +3,13 @@
 A fingerprint holds the K least distinct hashes of a text's five-word shingles (all of them, if there are fewer). Sketches of
 parts merge to the sketch of the whole, and estimate resemblance, containment and the number of distinct shingles.
 
-The query's neighbours ("the next document, descending doc_id") come from one shuffle: ids are counted on a grid of bounded
-size, cells are joined to runs of about ROWS rows, and each run's first document is also sent to the run before it, so that
-no order over all rows is needed in one place.
+The query's neighbours ("the next document, descending doc_id") come from one shuffle: bounds of runs of about ROWS rows are
+quantiles of a sample of (id, hash of the text), which decides how rows are dealt and nothing else; each run's first document is
+also sent to the run before it, so that no order over all rows is needed in one place, however the ids lie.
 
 Defined results: null text counts as empty; its fingerprint is empty, alike to another empty one (1.0) and unlike all others
-(0.0). Rows with one doc_id follow each other by text; null ids come last. A table of one row has itself as next. An empty
-table yields no rows.
+(0.0). Rows with one doc_id follow each other by the hash of their text; null ids come last. A table of one row has itself as
+next. An empty table yields no rows. Texts of any length are read whole. Columns of any other name may be there.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from quire.llm.common import bounded, slices
 from quire.llm.shingles import shingle_hashes
@@ -30,9 +32,10 @@ from quire.llm.shingles import shingle_hashes
 K = 128
 #: Bits of a hash that are kept; two of a text's n shingles meet by chance n**2 / 2**49 times.
 BITS = 48
-#: Cells of the grid of ids, which bounds what the driver gets; rows in a run, about.
-CELLS = 1 << 16
+#: Rows in a run, about; runs at most, which bounds what the driver gets (16 bytes each, and SAMPLE times that for the sample).
 ROWS = 1000
+RUNS = 1 << 16
+SAMPLE = 16
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -89,36 +92,51 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return bounded(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def _runs(docs: DataFrame) -> tuple[object, DataFrame]:
-    """The cell of an id as a column, and a table of at most CELLS rows: cell, run, the run's greatest id, the run that it goes to as well."""
-    spark = docs.sparkSession
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    spread = float(high) - float(low) + 1.0
-    cell = F.coalesce(F.least(F.floor((F.col("doc_id").cast("double") - float(low)) / spread * CELLS), F.lit(CELLS - 1)).cast("int"), F.lit(-1))
-    counts = sorted(docs.select(cell.alias("cell"), "doc_id").groupBy("cell").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).collect(), key=lambda r: -r.cell)
-    runs: list[list] = []  # in descending order of ids: [cells, rows, greatest id]
-    for r in counts:
-        if not runs or runs[-1][1] + r.n > ROWS:
-            runs.append([[], 0, r.top])
-        runs[-1][0].append(r.cell)
-        runs[-1][1] += r.n
-    rows = [(c, i, run[2], (i - 1) % len(runs)) for i, run in enumerate(runs) for c in run[0]]
-    return cell, spark.createDataFrame(rows or [(0, 0, 0, 0)], "cell int, run int, top long, also int")
+def _runs(docs: DataFrame) -> DataFrame:
+    """docs (with place and hash, which order them) with `run`, the number of the run of rows that each belongs to."""
+    rows = docs.count()
+    runs = min(RUNS, -(-rows // ROWS))
+    if runs < 2:
+        return docs.withColumn("run", F.lit(0))
+    keys = docs.select("place", "hash")
+    sample = keys.sample(min(1.0, SAMPLE * runs / rows), seed=1).toArrow()
+    kind = np.dtype([("place", "<i8"), ("hash", "<i8")])
+    points = np.empty(sample.num_rows, dtype=kind)
+    points["place"], points["hash"] = sample.column("place").to_numpy(), sample.column("hash").to_numpy()
+    points = points[np.lexsort((points["hash"], points["place"]))]
+    bounds = docs.sparkSession.sparkContext.broadcast(points[np.arange(1, runs) * len(points) // runs])
+
+    @pandas_udf("int")
+    def run_of(places: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        # By place first; the hash parts only what stands at the place of a bound.
+        parted = bounds.value["place"]
+        for place, hashed in places:
+            place, hashed = place.to_numpy(), hashed.to_numpy()
+            low, high = np.searchsorted(parted, place, "left"), np.searchsorted(parted, place, "right")
+            for i in np.flatnonzero(low < high):
+                low[i] += np.searchsorted(bounds.value["hash"][low[i] : high[i]], hashed[i], "right")
+            yield pd.Series(low.astype(np.int32))
+
+    return docs.withColumn("run", run_of("place", "hash"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
     """SCHEMA for every row: the text's fingerprint, that of its edited text, and likeness to the edited and to the next text."""
-    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cell, runs = _runs(docs)
-    first = F.col("doc_id").eqNullSafe(F.col("top"))
-    copies = F.when(first, F.array(F.struct(F.col("run").alias("run"), F.lit(0).alias("ghost")), F.struct(F.col("also").alias("run"), F.lit(1).alias("ghost")))).otherwise(F.array(F.struct(F.col("run").alias("run"), F.lit(0).alias("ghost"))))
-    placed = docs.withColumn("cell", cell).join(F.broadcast(runs), "cell").select("doc_id", "text", F.explode(copies).alias("copy"))
-    placed = placed.select("doc_id", "text", "copy.run", "copy.ghost").repartition("run").sortWithinPartitions("run", "ghost", F.desc_nulls_last("doc_id"), "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # The complement turns the order of ids round without leaving 64 bits.
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit((1 << 63) - 1)).alias("place"), F.xxhash64(text).alias("hash"))
+    numbered = _runs(docs)
+    firsts = sorted((r.run, r.first.place, r.first.hash) for r in numbered.groupBy("run").agg(F.min(F.struct("place", "hash")).alias("first")).collect())
+    # A row a run: the first of its rows goes to the run before as well, that of the first run to the last.
+    ghosts = docs.sparkSession.createDataFrame([(run, place, hashed, firsts[i - 1][0]) for i, (run, place, hashed) in enumerate(firsts)], "run int, place long, hash long, also int")
+    own, other = F.struct(F.col("run").alias("run"), F.lit(0).alias("ghost")), F.struct(F.col("also").alias("run"), F.lit(1).alias("ghost"))
+    copies = F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, other))
+    placed = numbered.join(F.broadcast(ghosts), ["run", "place", "hash"], "left").select("doc_id", "text", "place", "hash", F.explode(copies).alias("copy"))
+    placed = placed.select("doc_id", "text", "place", "hash", "copy.run", "copy.ghost").repartition("run").sortWithinPartitions("run", "ghost", "place", "hash", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
-        held: tuple | None = None  # the row before, which waits for its next
+        held: tuple | None = None  # the row before, which waits for its next; a run ends with its ghosts
         for batch in slices(batches):
             ghosts, ids, texts = (batch.column(c).to_pylist() for c in ("ghost", "doc_id", "text"))
             rows = ([held] if held else []) + list(zip(ghosts, ids, texts, sketches(texts), strict=True))
