@@ -11,8 +11,9 @@ are never moved. Each task keeps k rows a query and chunk, merged by a window.
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part. Rows with the query's own id
 are not its candidates; repeated rows of another id are each a candidate, and rank side by side. Of several vectors with one
 query id the least counts as the query. A candidate of another length than the query's is none.
-Scores are exact up to 2**62, beyond which the search fails. Null ids take no part. With
-fewer than k candidates all are returned.
+Ranks are exact whatever the size of the components; a score beyond 64 bits is written as the greatest (or least) 64-bit
+integer. Components whose scaled value leaves double precision's range count as not finite. Null ids take no part. With fewer
+than k candidates all are returned. Columns of any other name may be there.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id and the scaled vector of the rows that take part."""
     v = F.col("embedding")
     whole = F.size(v) > 0
-    finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & whole & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
+    finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * scale) == float("inf")))
+    # From 2**53 on every double is whole, and would leave floor()'s 64 bits.
+    scaled = lambda x: F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
+    return vectors.where(F.col("vec_id").isNotNull() & whole & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: scaled(x.cast("double") * scale)).alias("v"))
 
 
 def best(ids: np.ndarray, columns: np.ndarray, norms: np.ndarray, query_id: int, query: np.ndarray, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
@@ -80,12 +83,15 @@ def best(ids: np.ndarray, columns: np.ndarray, norms: np.ndarray, query_id: int,
 
 
 def whole(ids: np.ndarray, columns: np.ndarray, query_id: int, query: np.ndarray, k: int, most: float) -> tuple[np.ndarray, np.ndarray]:
-    """The same for scores beyond double precision's integers: all of them, in 64-bit integers."""
-    if most >= 2.0**62:
-        raise ValueError("components are too large for scores of 64 bits")
+    """The same for scores beyond double precision's integers: all of them, in integers of 64 bits or, from 2**62 on, of any size."""
     alive = np.flatnonzero(ids != query_id)
-    scores = query.astype(np.int64) @ columns[:, alive].astype(np.int64)
-    chosen = np.lexsort((ids[alive], -scores))[:k]
+    if most < 2.0**62:
+        scores = query.astype(np.int64) @ columns[:, alive].astype(np.int64)
+        chosen = np.lexsort((ids[alive], -scores))[:k]
+    else:
+        exact = lambda a: np.frompyfunc(int, 1, 1)(a)
+        scores = exact(query) @ exact(columns[:, alive]) if len(alive) else np.zeros(0, dtype=object)
+        chosen = np.asarray(sorted(range(len(alive)), key=lambda i: (-scores[i], ids[alive[i]]))[:k], dtype=np.int64)
     return ids[alive[chosen]], scores[chosen]
 
 
@@ -93,12 +99,30 @@ def _merged(have: tuple[np.ndarray, np.ndarray] | None, new: tuple[np.ndarray, n
     """The best k of two lists."""
     if have is None:
         return new
-    wide = np.int64 if np.int64 in (have[1].dtype, new[1].dtype) else np.float64
+    kinds = (have[1].dtype, new[1].dtype)
+    if object in kinds:
+        ids, scores = np.concatenate([have[0], new[0]]), np.concatenate([[int(s) for s in have[1]], [int(s) for s in new[1]]]).astype(object)
+        chosen = np.asarray(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
+        return ids[chosen], scores[chosen]
+    wide = np.int64 if np.int64 in kinds else np.float64
     ids, scores = np.concatenate([have[0], new[0]]), np.concatenate([have[1].astype(wide), new[1].astype(wide)])
     chosen = np.lexsort((ids, -scores))[:k]
     return ids[chosen], scores[chosen]
 
 
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def _written(score: int) -> tuple[int, str]:
+    """The score within 64 bits, and for one beyond them a text that sorts as it does among those."""
+    if LEAST < score < MOST:
+        return int(score), ""
+    digits = str(abs(int(score)))
+    if score > 0:
+        return MOST, f"{len(digits):06d}{digits}"
+    return LEAST, f"{999999 - len(digits):06d}" + digits.translate(str.maketrans("0123456789", "9876543210"))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `queries` the k rows of `vectors` with the greatest inner product."""
     spark = vectors.sparkSession
@@ -115,7 +139,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
         parts.append(_chunk(vectors, chunk, k, scale))
     for part in parts:
         found = part if found is None else found.unionAll(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -143,11 +167,11 @@ def _chunk(vectors: DataFrame, chunk: list, k: int, scale: int) -> DataFrame:
                     norms = np.sqrt((columns**2).sum(axis=0))
                     for q, query in asked:
                         have = kept.get(q)
-                        most = norms.max(initial=0) * np.sqrt((query**2).sum())
-                        if most >= EXACT:
+                        most = float(norms.max(initial=0) * np.sqrt((query**2).sum()))
+                        if not most < EXACT:
                             kept[q] = _merged(have, whole(ids, columns, q, query, k, most), k)
                             continue
-                        bound = -np.inf if have is None or len(have[0]) < k else have[1][-1]
+                        bound = -np.inf if have is None or len(have[0]) < k else float(have[1][-1])
                         if bound == -np.inf and len(ids) > 2 * FIRST:
                             first = best(ids[:FIRST], columns[:, :FIRST], norms[:FIRST], q, query, k, -np.inf)
                             bound = first[1][-1] if len(first[1]) == k else -np.inf
@@ -155,8 +179,8 @@ def _chunk(vectors: DataFrame, chunk: list, k: int, scale: int) -> DataFrame:
                         kept[q] = _merged(have, new, k)
         if kept:
             ids = np.concatenate([i for i, _ in kept.values()])
-            scores = np.concatenate([s.astype(np.int64) for _, s in kept.values()])
+            scores = [_written(x) for _, s in kept.values() for x in (s.tolist() if s.dtype == object else s.astype(np.int64).tolist())]
             asked_ids = np.repeat(list(kept), [len(i) for i, _ in kept.values()])
-            yield pa.RecordBatch.from_arrays([pa.array(asked_ids, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(asked_ids, pa.int64()), pa.array(ids, pa.int64()), pa.array([x for x, _ in scores], pa.int64()), pa.array([t for _, t in scores], pa.string())], ["query_id", "vec_id", "score", "beyond"])
 
-    return integers(vectors, scale).mapInArrow(run, "query_id long, vec_id long, score long")
+    return integers(vectors, scale).mapInArrow(run, "query_id long, vec_id long, score long, beyond string")
