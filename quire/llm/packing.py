@@ -4,14 +4,14 @@ Every document is encoded, closed with an end id and cut into pieces of at most
 own. For the pieces left the shallow length combinations that fill a window exactly (one to three length classes) are
 enumerated, and non-negative least squares finds how often to repeat each so that the histogram of lengths is met. The repeat
 counts are rounded down, then up as long as pieces last; the few pieces that remain are packed greedily, and cut where that
-closes a window.
+closes a window. What then stays in an open window is cut into sequences of powers of two, which take no padding.
 
 Packing runs over blocks of a bounded number of tokens within a task, as rows stream by. Each block solves its own histogram:
 no shuffle, no state on the driver, memory bounded by a block and one document, and a task that is run again yields the same
-rows. A block loses at most one partly filled window.
+rows. Padding so does not depend on the number of tasks or blocks.
 
 Defined results: null or empty text: the end id alone. Repeated rows and null ids are packed like any others. Texts of any
-length are cut whole. An empty table yields no rows.
+length are cut whole. An empty table yields no rows. Columns of any other name may be there.
 """
 
 from __future__ import annotations
@@ -164,8 +164,16 @@ def plan(lengths: np.ndarray, window: int = WINDOW, width: int = WIDTH) -> list[
             if not room:
                 sequences.append(opened)
                 opened, room = [], window
-    if opened:
-        sequences.append(opened)
+    # The last open window is cut at powers of two, which need no padding.
+    left, room = window - room, 0
+    for i, begin, n in opened:
+        while n:
+            if not room:
+                room = 1 << (left.bit_length() - 1)
+                sequences.append([])
+            take = min(n, room)
+            sequences[-1].append((i, begin, take))
+            begin, n, room, left = begin + take, n - take, room - take, left - take
     return sequences
 
 

@@ -76,5 +76,26 @@ def test_packing_query(spark):
     ids = {r.doc_id: encoder.one(r.text or "") + b"\1\0\0\0" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = registry.queries()["op10_packing"](spark, SF).collect()
     check_packing(rows, ids)
-    used = sum(len(i) // 4 for i in ids.values())
-    assert used / (2048 * len({r.sequence_id for r in rows})) > 0.95
+    for parts in (1, 64, 211):
+        docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(parts)
+        lengths = {}
+        for r in packing.pack(docs, registry.vocabulary("byte_bpe_50k.json")).collect():
+            lengths[r.sequence_id] = lengths.get(r.sequence_id, 0) + r.length
+        used = sum(lengths.values())
+        padded = sum(n if n & (n - 1) == 0 else packing.WINDOW for n in lengths.values())
+        assert used / padded > 0.985, parts
+
+
+def test_bpe_query(spark):
+    """Every text of the table against the library."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(registry.vocabulary("word_bpe_49k.json"))
+    plain.no_truncation()
+    plain.no_padding()
+    rows = {r.doc_id: r for r in registry.queries()["op3_bpe"](spark, SF).collect()}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = plain.encode(d.text or "", add_special_tokens=False).ids
+        assert rows[d.doc_id].n_tokens == len(ids)
+        assert rows[d.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert rows[d.doc_id].decoded_sha256 == hashlib.sha256(plain.decode(ids, skip_special_tokens=False).encode()).hexdigest()
