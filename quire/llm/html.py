@@ -1,14 +1,18 @@
 """HTML extraction by layout-aware rendering.
 
 A tag soup is read into a tree: end tags that may be left out are implied, void elements close themselves, scripts and styles
-are taken whole. Rendering walks the tree under visibility rules (no head, script, style, template, hidden or display:none) and
-emits all visible text: blocks on lines of their own, a blank line around paragraphs and headings, marks for list items, and
-table cells padded to the width of their columns. Cells without a written row get one; what stands in a table, a section or a
-row but in no cell comes before the table.
-
-Defined results: null or empty HTML gives an empty text. Broken markup never fails: what is no tag is text, and what is never
-closed ends with the page. Depth is bounded by DEPTH; deeper elements are read into the one at that depth. Repeated rows each
-get theirs.
+are taken whole. Rendering walks the tree under visibility rules (no head, script, style, template, hidden or display:none; text
+under visibility:hidden shows only where an element inside is visible again) and emits all visible text: blocks on lines of their
+own, a blank line around paragraphs and headings, marks for list items, and table cells padded to the width of their columns,
+spans included. Cells without a written row get one; what stands in a table, a section or a row but in no cell comes before the
+table.
+
+The reader never looks back, so that a page of broken markup costs as much as any other of its length.
+
+Defined results: null or empty HTML gives an empty text. Broken markup never fails: what is no tag is text, a quote that is never
+closed is none, and what is never closed ends with the page. Depth is bounded by DEPTH; deeper elements are read into the one at
+that depth. Columns are padded while a table's padding stays within PADDING characters a column, beyond to NARROW. Repeated rows
+each get theirs. An empty table of pages yields no rows. Columns of any other name may be there.
 """
 
 from __future__ import annotations
@@ -24,11 +28,14 @@ from pyspark.sql import functions as F
 from quire.llm.common import bounded, slices
 
 DEPTH = 200
+#: Characters of padding that a column of a table may take, and the width that it is padded to beyond them.
+PADDING = 1 << 20
+NARROW = 60
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-HIDDEN = frozenset("head script style template title noscript svg math iframe object canvas audio video select datalist".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+HIDDEN = frozenset("head script style template title noscript iframe object canvas audio video datalist desc metadata defs annotation annotation-xml".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption select optgroup option text".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 #: What a table is made of.
 PARTS = frozenset("tbody thead tfoot tr td th colgroup".split())
@@ -49,82 +56,168 @@ IMPLIED = {t: (frozenset(["p"]), frozenset("button table td th li div article se
     "body": (frozenset(["head"]), frozenset(["html"])),
 }
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_attribute = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-_gone = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_opening = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*)|!--|!\[CDATA\[|[!?])")
+_between = re.compile(r"[\s/]*")
+_name = re.compile(r"=?[^\s/>=]*")
+_equals = re.compile(r"\s*=\s*")
+_bare = re.compile(r"[^\s>]+")
+_gone = re.compile(r"display\s*:\s*none")
+_veil = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
 _white = re.compile(r"[ \t\n\r\f]+")
+_number = re.compile(r"[+-]?\d{1,9}")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "start", "tag")
-
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.hidden, self.start, self.children = tag, hidden, start, []
+    """tag; hidden: with all that is in it; veiled: its own text only; start: of a list, or an item's number; wide, high: a cell's spans."""
+
+    __slots__ = ("children", "hidden", "high", "start", "tag", "veiled", "wide")
+
+    def __init__(self, tag: str, hidden: bool = False, veiled: bool = False):
+        self.tag, self.hidden, self.veiled, self.start, self.wide, self.high, self.children = tag, hidden, veiled, None, 1, 1, []
+
+
+class Reader:
+    """The tags of a page, from left to right."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        #: Where the next sign of a kind is, as far as it was looked for; the end if there is none.
+        self.signs = {"'": -1, '"': -1, ">": -1}
+        #: Whether a tag was met whose quotes hide all that follows. From then on no quote hides the end of a tag.
+        self.wary = False
+
+    def _next(self, sign: str, at: int) -> int:
+        if self.signs[sign] < at:
+            found = self.source.find(sign, at)
+            self.signs[sign] = len(self.source) if found < 0 else found
+        return self.signs[sign]
+
+    def _closed(self, at: int) -> bool:
+        """Whether the quote at `at` begins a value."""
+        if self.source[at : at + 1] not in ("'", '"'):
+            return False
+        end = self._next(self.source[at], at + 1)
+        return end < (self._next(">", at) if self.wary else len(self.source))
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int, bool]:
+        """The attributes from `at` on, the place after the tag, and whether it closes itself. There must be a '>' to come."""
+        source, begin, found = self.source, at, []
+        while True:
+            space = _between.match(source, at)
+            at = space.end()
+            if at > self.last:
+                # Some quote hid the end of the tag: it ends at the next sign for that, whatever stands before it.
+                self.wary = True
+                return found, source.index(">", begin) + 1, False
+            if source[at] == ">":
+                return found, at + 1, space[0].endswith("/")
+            name = _name.match(source, at)
+            at, value = name.end(), ""
+            if m := _equals.match(source, at):
+                at = m.end()
+                if self._closed(at):
+                    end = self._next(source[at], at + 1)
+                    value, at = source[at + 1 : end], end + 1
+                elif m := _bare.match(source, at):
+                    value, at = m[0], m.end()
+            found.append((name[0].lower(), html.unescape(value)))
 
 
 def tree(source: str) -> Node:
     """The tree of a page; its texts are strings among the children."""
     root = Node("#root")
     stack = [root]
-    at = 0
-    while True:
-        m = _token.search(source, at)
-        text = source[at : m.start() if m else len(source)]
-        if text:
-            stack[-1].children.append(html.unescape(text))
-        if not m:
-            return root
+    reader = Reader(source)
+    at = begun = 0  # where reading goes on, and where text that is not in the tree yet begins
+    while m := _opening.search(source, at):
         at = m.end()
-        if m[1]:
-            stack[-1].children.append(m[1])
-        if not m[3]:
+        kind = m[0]
+        if kind == "<!--" or kind == "<![CDATA[":
+            end = source.find("-->" if kind == "<!--" else "]]>", at)
+            if m.start() > begun:
+                stack[-1].children.append(html.unescape(source[begun : m.start()]))
+            if kind != "<!--":
+                stack[-1].children.append(source[at : end if end >= 0 else len(source)])
+            at = begun = end + 3 if end >= 0 else len(source)
             continue
-        tag = m[3].lower()
-        if m[2]:
-            names = [n.tag for n in stack]
-            if tag == "p" and "p" not in names:
-                stack[-1].children.append(Node("p"))
-            # An end tag closes its element and what is open in it, but no cell is closed by what ends inside it.
-            wall = max((i for i, n in enumerate(names) if n in ("td", "th", "table") and n != tag), default=0) if tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") else 0
-            for i in range(len(stack) - 1, wall, -1):
-                if names[i] == tag:
-                    del stack[i:]
-                    break
+        if at > reader.last:
+            if m[2]:
+                break  # no tag ends any more: the rest is text
+            if m.start() > begun:
+                stack[-1].children.append(html.unescape(source[begun : m.start()]))
+            begun = len(source)
+            break
+        if m.start() > begun:
+            stack[-1].children.append(html.unescape(source[begun : m.start()]))
+        if not m[2] or m[1]:
+            at = begun = source.index(">", at) + 1
+            if m[2]:
+                _end(stack, m[2].lower())
             continue
-        if tag in IMPLIED:
-            ends, until = IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in until:
-                    break
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    if tag in _P:
-                        break
-                    continue
-        given = m[4]
-        hidden, start = tag in HIDDEN, 1
-        if given:
-            for name, a, b, c in _attribute.findall(given):
-                name, value = name.lower(), a or b or c
-                if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _gone.search(value.lower()) or name == "type" and tag == "input" and value.lower() == "hidden":
-                    hidden = True
-                elif name == "start" and re.fullmatch(r"-?\d{1,9}", value):
-                    start = int(value)
-                elif name == "alt" and tag == "img" and value:
-                    stack[-1].children.append(html.unescape(value))
-        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot") and len(stack) < DEPTH:
-            row = Node("tr")
-            stack[-1].children.append(row)
-            stack.append(row)
-        node = Node(tag, hidden, start)
-        stack[-1].children.append(node)
+        given, at, closed = reader.attributes(at)
+        begun = at
+        tag = m[2].lower()
+        node = _start(stack, tag, given)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
             if not node.hidden:
                 node.children.append(html.unescape(source[at : end.start() if end else len(source)]))
-            at = end.end() if end else len(source)
-        elif tag not in VOID and not (given and given.rstrip().endswith("/") and tag not in BLOCKS) and len(stack) < DEPTH:
+            at = begun = end.end() if end else len(source)
+        elif tag not in VOID and not (closed and tag not in BLOCKS) and len(stack) < DEPTH:
             stack.append(node)
+    if begun < len(source):
+        stack[-1].children.append(html.unescape(source[begun:]))
+    return root
+
+
+def _end(stack: list[Node], tag: str) -> None:
+    """An end tag closes its element and what is open in it, but no cell is closed by what ends inside it."""
+    names = [n.tag for n in stack]
+    if tag == "p" and "p" not in names:
+        stack[-1].children.append(Node("p"))
+    wall = max((i for i, n in enumerate(names) if n in ("td", "th", "table") and n != tag), default=0) if tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") else 0
+    for i in range(len(stack) - 1, wall, -1):
+        if names[i] == tag:
+            del stack[i:]
+            return
+
+
+def _start(stack: list[Node], tag: str, given: list[tuple[str, str]]) -> Node:
+    """The node of a start tag, put into the tree; what it implies is closed or opened before."""
+    if tag in IMPLIED:
+        ends, until = IMPLIED[tag]
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in until:
+                break
+            if stack[i].tag in ends:
+                del stack[i:]
+                if tag in _P:
+                    break
+    if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot") and len(stack) < DEPTH:
+        row = Node("tr", veiled=stack[-1].veiled)
+        stack[-1].children.append(row)
+        stack.append(row)
+    node = Node(tag, tag in HIDDEN, stack[-1].veiled)
+    for name, value in given:
+        whole = int(value) if name in ("start", "value", "colspan", "rowspan") and _number.fullmatch(value.strip()) else None
+        if name == "hidden":
+            node.hidden = True
+        elif name == "style":
+            style = value.lower()
+            node.hidden |= bool(_gone.search(style))
+            if found := _veil.findall(style):
+                node.veiled = found[-1] != "visible"
+        elif name == "alt" and tag == "img" and value and not node.hidden and not node.veiled:
+            node.children.append(value)
+        elif whole is not None and (name == "start" and tag == "ol" or name == "value" and tag == "li"):
+            node.start = whole
+        elif whole is not None and name == "colspan":
+            node.wide = min(max(whole, 1), 1000)
+        elif whole is not None and name == "rowspan":
+            node.high = min(max(whole, 1), 65534)
+    stack[-1].children.append(node)
+    return node
 
 
 class Lines:
@@ -188,7 +281,7 @@ def _rows(node: Node, rows: list[list[Node]], strays: list[Node], row: list[Node
             continue
         if isinstance(c, str) or c.tag not in PARTS and not _parts(c):
             if run is None and not (isinstance(c, str) and not c.strip(" \t\n\r\f")):
-                strays.append(run := Node("div"))
+                strays.append(run := Node("div", veiled=node.veiled))
             if run is not None:
                 run.children.append(c)
             continue
@@ -213,17 +306,39 @@ def _table(node: Node, depth: int) -> tuple[list[list[str]], list[str]]:
     rows: list[list[Node]] = []
     strays: list[Node] = []
     _rows(node, rows, strays)
-    cells = [[_render(c, depth + 1) for c in row] for row in rows]
     widths: dict[int, int] = {}
-    for row in cells:
-        for j, cell in enumerate(row):
-            widths[j] = max(widths.get(j, 0), max(map(len, cell), default=0))
-    # One overlong cell does not push all others away.
-    widths = {j: min(w, 60) for j, w in widths.items()}
+    grid: list[list[tuple[int, int, list[str]]]] = []  # of each row: first column, columns, lines
+    below: dict[int, int] = {}  # rows that a cell of an earlier row still takes of a column
+    for row in rows:
+        placed, j = [], 0
+        held = {c: n - 1 for c, n in below.items() if n > 1}
+        for cell in row:
+            while below.get(j):
+                j += 1
+            lines = _render(cell, depth + 1)
+            placed.append((j, cell.wide, lines))
+            if cell.high > 1:
+                held |= dict.fromkeys(range(j, j + cell.wide), cell.high - 1)
+            if cell.wide == 1:
+                widths[j] = max(widths.get(j, 0), max(map(len, lines), default=0))
+            j += cell.wide
+        grid.append(placed)
+        below = held
+    widths = {j: w if w * len(rows) <= PADDING else min(w, NARROW) for j, w in widths.items()}
+    starts, last = {}, max((j + wide for placed in grid for j, wide, _ in placed), default=0)
+    at = 0
+    for j in range(last):
+        starts[j] = at
+        at += widths[j] + 2 if j in widths else 0
     out = []
-    for row in cells:
-        for k in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[j]) for j, cell in enumerate(row)).rstrip(" "))
+    for placed in grid:
+        for k in range(max((len(lines) for _, _, lines in placed), default=0)):
+            line = ""
+            for j, _, lines in placed:
+                if k < len(lines) and lines[k]:
+                    # An overlong cell pushes what stands right of it, and keeps two blanks before it.
+                    line = line.ljust(max(starts[j], len(line) + 2 if line else 0)) + lines[k]
+            out.append(line.rstrip(" "))
     return [_render(x, depth + 1) for x in strays], out
 
 
@@ -234,10 +349,10 @@ def _render(node: Node, depth: int = 0) -> list[str]:
 
 
 def _walk(node: Node, lines: Lines, depth: int) -> None:
-    number = node.start
+    number = 1 if node.start is None or node.tag != "ol" else node.start
     for c in node.children:
         if isinstance(c, str):
-            if node.tag not in ("table", "tbody", "thead", "tfoot", "tr", "ul", "ol", "colgroup") or c.strip(" \t\n\r\f"):
+            if not node.veiled and (node.tag not in ("table", "tbody", "thead", "tfoot", "tr", "ul", "ol", "colgroup") or c.strip(" \t\n\r\f")):
                 lines.text(c)
             continue
         if c.hidden:
@@ -264,6 +379,7 @@ def _walk(node: Node, lines: Lines, depth: int) -> None:
             lines.gap = True
         elif tag == "li":
             lines.line()
+            number = number if c.start is None else c.start
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
             inner = _render(c, depth + 1)
@@ -281,7 +397,8 @@ def _walk(node: Node, lines: Lines, depth: int) -> None:
 def _strings(node: Node) -> Iterator[str]:
     for c in node.children:
         if isinstance(c, str):
-            yield c
+            if not node.veiled:
+                yield c
         elif not c.hidden:
             if c.tag == "br":
                 yield "\n"

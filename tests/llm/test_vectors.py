@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import xxhash
 from quire.llm import fingerprint as G
 from quire.llm import html as H
 from quire.llm import topk
@@ -49,7 +51,8 @@ def test_sketches_estimate_and_merge():
 
 def check_edited(spark, rows):
     got = sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in G.edited(spark.createDataFrame(rows, "doc_id long, text string, run int")).collect()), key=str)
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    signed = lambda t: (xxhash.xxh64((t or "").encode(), seed=42).intdigest() + (1 << 63)) % (1 << 64)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
     wanted = []
     for i, (d, t, _) in enumerate(order):
         t, after = t or "", order[(i + 1) % len(order)][1] or ""
@@ -64,6 +67,8 @@ def test_edited_texts(spark, monkeypatch):
     rows = [(rng.choice([i, i * 10**6, -i]), rng.choice([None, "", "é😀 word", "x " * rng.randint(1, 200)]) if rng.random() < 0.3 else f"text {i} " * rng.randint(1, 40), 0) for i in range(60)]
     rows = list({r[0]: r for r in rows}.values()) + [(None, "null", 0)]
     check_edited(spark, rows)
+    check_edited(spark, [*((i, f"dense {i} " * 5, 0) for i in range(40)), (1 << 60, "far away", 0), (-(1 << 62), "below", 0)])
+    check_edited(spark, [*((7, f"same id {i}", 0) for i in range(25)), *((None, f"no id {i}", 0) for i in range(25)), (3, "x", 0)])
     check_edited(spark, [(5, "alone here", 0)])
     check_edited(spark, [(5, "same", 0), (5, "same", 0), (5, "other", 0), (4, None, 0)])
     assert G.edited(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -80,6 +85,31 @@ def test_equal_texts_and_likeness(spark):
     assert {r.doc_id: r.fingerprint for r in G.fingerprints(docs).collect()} == {r.doc_id: r.fingerprint for r in rows}
 
 
+def test_runs_are_even(spark, monkeypatch):
+    monkeypatch.setattr(G, "ROWS", 50)
+    rows = [(i, f"t {i}") for i in range(1000)] + [(1 << 60, "far")] + [(None, f"n {i}") for i in range(500)] + [(77, f"s {i}") for i in range(500)]
+    docs = spark.createDataFrame([(~i if i is not None else (1 << 63) - 1, hash(t)) for i, t in rows], "place long, hash long")
+    sizes = [r["count"] for r in G._runs(docs).groupBy("run").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 200
+
+
+def test_likeness_against_whole_sets(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(0, 400))]
+        rows.append((2 * i, " ".join(words)))
+        rows.append((2 * i + 1, " ".join(w if rng.random() < 0.97 else "other" for w in words)))
+    texts = dict(rows)
+    share = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) if shingles(a) | shingles(b) else 1.0
+    for r in G.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        own, after = texts[r.doc_id], texts[r.doc_id - 1 if r.doc_id else 79]
+        changed = own[: len(own) - len(own) // 2] + after[: len(own) // 2]
+        for told, other in ((r.near_next, after), (r.near_edited, changed)):
+            true = share(own, other)
+            assert abs(told - true) < (0.2 if len(shingles(own) | shingles(other)) > G.K else 1e-9)
+
+
 def brute_top(rows, k=10):
     seen = {}
     for i, v in rows:
@@ -108,6 +138,14 @@ def test_top_k(spark, monkeypatch):
     huge = [(i, [float(np.float32(x * 4e4)) for x in rng.normal(0, 1, 5)]) for i in range(120)] + [(i, [0.01 * i] * 5) for i in range(120, 140)]
     big = spark.createDataFrame(huge, "vec_id long, embedding array<float>")
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(big, big.where("vec_id % 100 = 0")).collect()) == brute_top(huge)
+    vast = [(i, [float(10.0 ** rng.integers(5, 14) * rng.choice([-1, 1])), float(rng.normal()), 1e12]) for i in range(130)] + [(200, [1e200, -1e200, 3.0]), (201, [1e308, 1.0, 1.0])]
+    wide = spark.createDataFrame(vast, "vec_id long, embedding array<double>")
+    exact = {i: [int(np.floor(1024 * x)) if 1024 * x < 2.0**53 else 1024 * int(x) for x in v] for i, v in vast if i != 201}
+    wanted = []
+    for q in (0, 100, 200):
+        found = sorted((-sum(a * b for a, b in zip(exact[q], c, strict=True)), i) for i, c in exact.items() if i != q)[:10]
+        wanted += [(q, rank, i, max(min(-s, (1 << 63) - 1), -(1 << 63))) for rank, (s, i) in enumerate(found, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(wide, wide.where("vec_id % 100 = 0")).collect()) == wanted
     few = df.where("vec_id < 4")
     assert len(topk.search(few, few.where("vec_id % 100 = 0")).collect()) == 3
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
@@ -141,6 +179,34 @@ def test_html_tables_lose_nothing():
     assert H.render("<table><tbody hidden><td>no</tbody><tr hidden><td>no<tr><td hidden>no<td>x<template>no</template></table>") == "x"
 
 
+def test_html_shows_what_is_visible():
+    for source, text in [
+        ("<p title=it's>Hello", "Hello"),
+        ("<p title=\"it's>Hello", "Hello"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>", "yes"),
+        ("<span aria-hidden=true>x</span>y", "xy"),
+        ("<select><option>a<option>b</select>", "a\nb"),
+        ("<svg><title>no</title><text>in</text></svg>", "in"),
+        ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+        ("<table><tr><td colspan=2>ab<td>c<tr><td>xxx<td>yy<td>z</table>", "ab       c\nxxx  yy  z"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td>" + "w" * 70 + "<td>b<tr><td>c<td>d</table>", "w" * 70 + "  b\nc" + " " * 71 + "d"),
+        ("<a <a <a", "<a <a <a"),
+        ("<img alt='A &amp; B'>", "A & B"),
+        ("<a b='>'>x <a b='", "x <a b='"),
+    ]:
+        assert H.render(source) == text, source
+
+
+def test_broken_pages_take_linear_time():
+    for part in ("<a ", '<a title="', "<p title='x>", "<![CDATA[", "<!--", "</x ", "<", "=", "<script>", "<div>", "<table><tr><td>", "<li>", '<a b=">" ', "<td>"):
+        page = part * (1_000_000 // len(part))
+        began = time.process_time()
+        H.render(page)
+        H.render(page + ">")
+        assert time.process_time() - began < 60, part
+
+
 def test_html_holds_every_visible_word(spark):
     """Against a plain strip of tags: same words in the same order, apart from list marks."""
     import html as std
