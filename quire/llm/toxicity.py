@@ -10,7 +10,8 @@ Each hit is weighed by its window: neighbours that are hits as well raise it; qu
 words about words before it lower it. A small logistic model, fitted on at most ROWS labelled rows (a documented bound) outside
 the held-out fold, turns the sums into a score. Language, source and ids are never inputs.
 
-Defined results: null and empty texts have no hits. Without labels fixed weights hold. Repeated rows each get their row.
+Defined results: null and empty texts have no hits. Without labels fixed weights hold. Repeated rows each get their row. Texts and
+words of any length are read whole. An empty table yields no rows. Columns of any other name may be there.
 """
 
 from __future__ import annotations
@@ -33,8 +34,6 @@ THRESHOLD = 0.3
 REACH = 8
 #: Terms from this length on may differ by an edit, from twice this by two.
 FUZZY = 5
-#: Terms and stems that the labels may add; the strongest come first.
-TERMS = 4000
 STEMS = range(4, 9)
 #: Share of the toxic documents that a learned term or stem must be in.
 SUPPORT = 0.01
@@ -168,7 +167,7 @@ class Model:
         if found is None and not token.isalpha():
             # Letters between signs, and signs for letters.
             plain = "".join([c for c in token.translate(_SIGNS) if c.isalpha()])
-            if plain != token and 4 <= len(plain) <= 40:
+            if plain != token and len(plain) >= 4:
                 found = self._lexicon.match(plain)
         if len(chunk) <= 48:
             if len(self._table) >= TABLE:
@@ -214,10 +213,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(rows @ np.asarray(self.weights), -30, 30)))
 
 
-def lexicon(sample: DataFrame, terms: int = TERMS) -> tuple[dict[str, float], dict[str, float]]:
+def lexicon(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Terms and stems of the labelled sample that toxic documents use far beyond their share.
 
-    Documents with the same least hash of a word count as one, since copies of a document say no more than it.
+    Documents with the same least hash of a word count as one, since copies of a document say no more than it. What is found is
+    bounded by the sample: a term is in SUPPORT of its toxic documents at least.
     """
     chunks = F.array_distinct(F.split(F.lower("text"), "\\s+"))
     worded = sample.select("label", chunks.alias("w")).select("label", "w", F.array_min(F.transform("w", lambda c: F.xxhash64(c))).alias("own"))
@@ -229,7 +229,7 @@ def lexicon(sample: DataFrame, terms: int = TERMS) -> tuple[dict[str, float], di
     counted = (
         worded.select("own", "label", F.explode("w").alias("chunk"))
         .select("own", "label", F.regexp_replace("chunk", "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "").alias("word"))
-        .where("length(word) between 3 and 40")
+        .where("length(word) >= 2")
         .select("own", "label", parts.alias("s"))
         .select("own", "label", "s.n", "s.word")
         .where("word is not null")
@@ -241,12 +241,12 @@ def lexicon(sample: DataFrame, terms: int = TERMS) -> tuple[dict[str, float], di
     # Odds against the share of toxic documents, with half a clean document added.
     odds = (F.col("toxic") / own) / ((F.col("clean") + 0.5) / rest)
     found = counted.where((F.col("toxic") >= max(4.0, SUPPORT * own)) & (odds >= 10.0) & (F.col("toxic") > F.col("clean")))
-    rows = found.select("n", "word", (F.col("toxic") / (F.col("toxic") + 2 * F.col("clean") + 1.0)).alias("weight"), "toxic").orderBy(F.desc("toxic"), "n", "word").limit(terms).collect()
+    rows = found.select("n", "word", (F.col("toxic") / (F.col("toxic") + 2 * F.col("clean") + 1.0)).alias("weight")).collect()
     stems: dict[str, float] = {}
-    for r in sorted((r for r in rows if r.n), key=lambda r: r.n):
+    for r in sorted((r for r in rows if r.n), key=lambda r: (r.n, r.word)):
         if not any(r.word[:n] in stems for n in STEMS if n < r.n):
             stems[r.word] = r.weight
-    return {r.word: r.weight for r in rows if r.n == 0 and not any(r.word[:n] in stems for n in STEMS if len(r.word) > n)}, stems
+    return {r.word: r.weight for r in sorted(rows, key=lambda r: r.word) if r.n == 0 and not any(r.word[:n] in stems for n in STEMS if len(r.word) > n)}, stems
 
 
 def train(rows: np.ndarray, labels: np.ndarray, rounds: int = 400) -> list[float]:
