@@ -333,7 +333,8 @@ def _near_enough(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """class and root (the least class of its component) of every class that has a link, by alternating large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1000003)).first())
+    # Number of edges, and two hashes of 64 bits over all of them: equal marks are equal edges.
+    mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("lo", "hi", F.lit(1)).cast("decimal(20,0)"))).first())
     was = mark(edges)
     while was[0]:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
@@ -407,7 +408,8 @@ def survivors(docs: DataFrame) -> DataFrame:
     doubtful = stored(rows.join(groups, "group").select("__d", "__k", (F.struct("__d", "__k") == F.col("kept")).alias("kept")))
     bloom = docs.sparkSession.sparkContext.broadcast(_wanted(doubtful.select(F.col("__k").alias("key")), doubtful.count()))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.select(*docs.columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("__d"), F.xxhash64(text).alias("__k"))
+    # The table's own columns stand in a struct, whatever their names.
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("__d"), F.xxhash64(text).alias("__k"))
 
     def split(hit: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,5 +426,5 @@ def survivors(docs: DataFrame) -> DataFrame:
     stays = judged.where("__kept is null or __kept")
     repeated = F.coalesce("__times", F.lit(1)) > 1
     once = stays.where(repeated).dropDuplicates(["__d", "__k"]) if doubtful.where("kept").groupBy("__d", "__k").count().where("count > 1").limit(1).count() else None
-    out = split(False).select(*docs.columns).unionAll((stays.where(~repeated) if once is not None else stays).select(*docs.columns))
-    return out if once is None else out.unionAll(once.select(*docs.columns))
+    out = split(False).select("row").unionAll((stays.where(~repeated) if once is not None else stays).select("row"))
+    return (out if once is None else out.unionAll(once.select("row"))).select("row.*")

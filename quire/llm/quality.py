@@ -7,7 +7,8 @@ makes that linear in the number of non-zeros. It is fitted in one task, on a sam
 a parameter), one a document; scoring is one pass over all rows without a shuffle. Language, source and ids are never inputs.
 
 Defined results: null and empty texts have no words and the statistics of an empty text, and get the score of that vector.
-Without labels of both classes the score is the share of label 1 (0.5 without any). Repeated rows each get their row.
+Without labels of both classes the score is the share of label 1 (0.5 without any). Repeated rows each get their row. Texts of
+any length are read whole. An empty table yields no rows. Columns of any other name may be there.
 """
 
 from __future__ import annotations

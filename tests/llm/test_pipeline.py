@@ -4,6 +4,7 @@ import zlib
 
 import corpus_pipeline as P
 import pytest
+from pyspark.sql import functions as F
 from quire.llm import jaccard, packing, quality, secrets, toxicity
 from quire.llm.registry import vocabulary
 
@@ -98,3 +99,22 @@ def test_classifiers_on_odd_tables(spark):
             assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
             assert f(spark, docs.limit(0), labels).count() == 0
     assert [r.predicted for r in toxicity.detect(spark, docs, none).where("doc_id = 3").collect()] == [1]
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """The whole of run() on empty, unlabelled, null and wide tables."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    clashing = {c: F.lit("x") for c in ("__d", "__k", "row", "score", "group", "class", "label", "spans", "kept")}
+    odd = docs.limit(40).select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("text"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("n_chars")).withColumns(clashing)
+    odd = odd.unionAll(odd.where("doc_id < 9")).unionAll(odd.limit(3).withColumn("doc_id", F.lit(None).cast("long")))
+    for name, table, marks in (("odd", odd, labels), ("unlabelled", docs, labels.limit(0)), ("empty", docs.limit(0), labels)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = P.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(rows) == (name != "empty")
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in table.collect()}
+        kept = table
+        for _, f in P.STAGES[:-1] if name == "odd" else []:
+            kept = f(spark, kept, f"{tmp_path}/{name}")
+            assert kept.columns == table.columns
