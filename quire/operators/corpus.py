@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.sources.storage import stored
+from quire.sources.storage import discard, stored
 
 
 def normal_hash(text: Column) -> Column:
@@ -55,14 +55,16 @@ def _alike(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) ->
 def _components(links: DataFrame) -> DataFrame:
     """class and root (the least class of its component) of every class that has a link, by alternating large and small stars."""
     edges = stored(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1000003)).first())
+    # Number of edges, and two hashes of 64 bits over all of them: equal marks are equal edges.
+    mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.xxhash64("lo", "hi", F.lit(1)).cast("decimal(20,0)"))).first())
     was = mark(edges)
     while was[0]:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         moved = large.join(large.groupBy("hi").agg(F.min("lo").alias("m")), "hi")
-        edges = stored(moved.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(moved.select("hi", F.col("m").alias("lo"))).distinct())
+        before, edges = edges, stored(moved.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(moved.select("hi", F.col("m").alias("lo"))).distinct())
+        discard(before)
         now = mark(edges)
         if now == was:
             break

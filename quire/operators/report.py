@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+
 #: Paragraph styles, font sizes in points, evaluation modes.
 STYLES = {
     "DOCUMENT_TITLE": "Title",
@@ -51,3 +53,11 @@ def placed(cells: DataFrame) -> DataFrame:
 def measured(metrics: DataFrame) -> DataFrame:
     """Metric and value as text: six decimals, N/A for what was not measured."""
     return metrics.select("metric", F.coalesce(F.format_string("%.6f", "value"), F.lit("N/A")).alias("shown"))
+
+
+def correction_rows(corrections: DataFrame) -> DataFrame:
+    """doc_id, n, html_md5: a page's corrections as the rows of an HTML table, in the order of blocks."""
+    cells = [F.col("ord").cast("string"), T.html_escaped(F.col("literal")), T.html_escaped(F.col("corrected")), T.html_escaped(F.col("reason")), F.format_string("%.3f", "confidence")]
+    row = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    parts = F.array_sort(F.collect_list(F.struct("ord", row.alias("h"))))
+    return corrections.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(parts, lambda p: p["h"]), "\n").cast("binary")).alias("html_md5"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import documents as D
 from quire.operators import layout as L
 from quire.operators import matching as M
 from quire.operators import report as O
@@ -260,7 +261,7 @@ def missing_benchmark_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(S.table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("page")), "page", "left_anti")
 
 
-@query(f"""WITH {S.BLOCKS_SQL}, frag AS (SELECT doc_id, ord, unnest(string_split(literal, chr(10))) AS f FROM blocks WHERE block_type NOT IN ('FIGURE', 'DECORATIVE_REGION')),
+@query(f"""WITH {S.BLOCKS_SQL}, frag AS (SELECT doc_id, ord, unnest(CASE WHEN block_type IN ('BULLET_LIST', 'NUMBERED_LIST') THEN list_transform(regexp_split_to_array(literal, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: regexp_replace(x, '^\\s*(?:[•◦▪‣\\-–—]|[0-9٠-٩]+[.)-])\\s*', '')) ELSE [literal] END) AS f FROM blocks WHERE block_type NOT IN ('FIGURE', 'DECORATIVE_REGION')),
 page AS (SELECT doc_id, trim(regexp_replace(string_agg(literal, chr(10) ORDER BY reading_order), '\\s+', ' ', 'g')) AS t FROM hyp GROUP BY doc_id),
 c AS (SELECT doc_id, ord, trim(regexp_replace(f, '\\s+', ' ', 'g')) AS f FROM frag)
 SELECT c.doc_id, c.ord, count(*) AS missing FROM c LEFT JOIN page p ON c.doc_id = p.doc_id WHERE c.f <> '' AND NOT contains(coalesce(p.t, ''), c.f) GROUP BY c.doc_id, c.ord""")
@@ -269,21 +270,7 @@ def docx_fragment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, hyp = _both(spark, sf_dir)
     ordered = F.array_sort(F.collect_list(F.struct("reading_order", "literal")))
     page = hyp.groupBy("doc_id").agg(T.squeezed(F.array_join(F.transform(ordered, lambda b: b["literal"]), "\n")).alias("t"))
-    frag = found.where(~F.col("block_type").isin("FIGURE", "DECORATIVE_REGION")).select("doc_id", "ord", F.explode(F.split("literal", "\n")).alias("f")).select("doc_id", "ord", T.squeezed(F.col("f")).alias("f")).where("f <> ''")
-    return frag.join(page, "doc_id", "left").where(~F.contains(F.coalesce("t", F.lit("")), F.col("f"))).groupBy("doc_id", "ord").agg(F.count("*").alias("missing"))
-
-
-@query(f"""WITH {S.BLOCKS_SQL}, seg AS (SELECT doc_id, reading_order, block_type, unnest(string_split(literal, chr(10) || chr(10))) AS t, generate_subscripts(string_split(literal, chr(10) || chr(10)), 1) AS i FROM blocks)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order, i) AS seq, CASE WHEN block_type = 'BULLET_LIST' THEN 'List Bullet' ELSE {_STYLE_SQL} END AS style, md5(t) AS text_md5 FROM seg""")
-def render_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a paragraph of the rendered page, with its style."""
-    from pyspark.sql import Window
-
-    seg = all_blocks(spark, sf_dir).select("doc_id", "reading_order", "block_type", F.posexplode(F.split("literal", "\n\n")).alias("i", "t"))
-    kind = F.col("block_type")
-    style = F.when(kind == "BULLET_LIST", "List Bullet").otherwise(O.style_of(kind))
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("reading_order", "i")).cast("long")
-    return seg.select("doc_id", seq.alias("seq"), style.alias("style"), F.md5(F.col("t").cast("binary")).alias("text_md5"))
+    return D.fragments(found).join(page, "doc_id", "left").where(~F.contains(F.coalesce("t", F.lit("")), F.col("f"))).groupBy("doc_id", "ord").agg(F.count("*").alias("missing"))
 
 
 @query(f"""WITH {S.BLOCKS_SQL} SELECT doc_id, md5(string_agg('<li data-type="' || block_type || '">' || replace(replace(replace(replace(replace(literal, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</li>', chr(10) ORDER BY reading_order)) AS html_md5 FROM blocks GROUP BY doc_id""")

@@ -75,3 +75,15 @@ def test_jobs_and_availability(spark):
     assert [(r.job, r.state, r.manifest) for r in P.jobs(status, summary, manifest).collect()] == [("a", "RUNNING", "m"), ("b", "COMPLETED", None)]
     ready = {n: (ok, missing) for n, ok, missing in P.availability({"azure_key": True})}
     assert ready["azure"] == (True, "") and ready["maximum_accuracy"] == (False, "gemini_key")
+
+
+def test_stored_tables_go_with_their_scratch(spark):
+    import os
+
+    from quire.sources.storage import scratch, stored
+
+    kept = []
+    with scratch(spark, kept):
+        first = stored(spark.range(5))
+        kept.append(stored(first.where("id > 2")))
+    assert not os.path.exists(first._stored_at) and sorted(r.id for r in kept[0].collect()) == [3, 4]
