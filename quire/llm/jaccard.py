@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded, slices, stored
+from quire.llm.common import bounded, discard, slices, stored
 from quire.llm.shingles import mix, shingle_hashes
 
 #: Least elements of a set by which the lengths of lists are reckoned.
@@ -343,7 +343,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(least, "hi")
         small = moved.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(moved.select("hi", F.col("m").alias("lo"))).distinct()
-        edges = stored(small)
+        before, edges = edges, stored(small)
+        discard(before)
         now = mark(edges)
         if now == was:
             break
@@ -351,15 +352,45 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("hi").alias("class"), F.col("lo").alias("root")).unionAll(edges.select(F.col("lo").alias("class"), F.col("lo").alias("root")).distinct())
 
 
-def links(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """The component roots (class, root) of all classes with a link. known: stored profiles."""
+def _lists(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Classes (class, n, key, least, bits), the rows of lists that classes share, and whether some lists are of frequent elements."""
     full = known.where("n > 0")
     classes = stored(full.groupBy("class").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.first("least").alias("least"), F.first("bits").alias("bits")))
     elements = classes.select("class", "n", F.explode("least").alias("element"))
     counted = known.where("sample is not null").select("class", "sample").dropDuplicates(["class"]).select(F.explode("sample").alias("element")).groupBy("element").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     hot_rows = counted.orderBy(F.desc("n"), "element").limit(HOT).select("element")
     hot = np.sort(hot_rows.toArrow().column("element").to_numpy().view(np.uint64))
-    shared = stored(_shared(postings(docs, hot, boundary(elements))))
+    return classes, stored(_shared(postings(docs, hot, boundary(elements)))), len(hot) > 0
+
+
+def _candidates(rooted: DataFrame, frequent: bool) -> DataFrame:
+    """Candidates (a, b) of all lists between classes of different roots. rooted: rows of lists with `root`."""
+    found = _scan(rooted.where("part = 0").withColumn("side", F.col("class")), "element")
+    if frequent:
+        often = stored(rooted.where("part > 0").drop("part"))
+        mixed = often.groupBy("element").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("rows")).where("x <> y").select("element", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+        block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+        spread = often.join(mixed, "element").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        crossed = spread.select(F.xxhash64("element", F.least("block", "other"), F.greatest("block", "other")).alias("list"), "class", "place", "before", "root", F.when(F.col("block") == F.col("other"), F.col("class")).otherwise(F.col("block").cast("long")).alias("side"))
+        found = found.unionAll(_scan(crossed, "list"))
+    return found.distinct()
+
+
+def pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links: doc_id and class of every row with shingles, and every pair a < b of classes whose sets link.
+
+    Copies share a class and are linked with each other besides. Unlike links() this leaves out no pair because it is connected
+    already, so that a group of many different near copies costs, and yields, the square of its classes.
+    """
+    known = stored(profiles(docs))
+    classes, shared, frequent = _lists(docs, known)
+    found = _candidates(shared.withColumn("root", F.col("class")), frequent)
+    return known.where("n > 0").select("doc_id", "class"), verify(docs, classes, _near_enough(found, classes))
+
+
+def links(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The component roots (class, root) of all classes with a link. known: stored profiles."""
+    classes, shared, frequent = _lists(docs, known)
     # First links: in long lists to the set with the fewest elements of its own, which what was copied from it is nearest to.
     size = F.shiftright("place", 32)
     hubs = shared.groupBy("element").agg(F.min(F.struct("usual", size.alias("n"), "class")).alias("hub"), F.count("*").alias("rows")).where(F.col("rows") >= CROWD).select("element", "hub.class", "hub.n").toDF("element", "hub", "hub_n")
@@ -370,15 +401,8 @@ def links(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     # What is connected already needs no further link.
     rooted = shared.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    found = _scan(rooted.where("part = 0").withColumn("side", F.col("class")), "element")
-    if len(hot):
-        often = stored(rooted.where("part > 0").drop("part"))
-        mixed = often.groupBy("element").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("rows")).where("x <> y").select("element", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-        block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-        spread = often.join(mixed, "element").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        crossed = spread.select(F.xxhash64("element", F.least("block", "other"), F.greatest("block", "other")).alias("list"), "class", "place", "before", "root", F.when(F.col("block") == F.col("other"), F.col("class")).otherwise(F.col("block").cast("long")).alias("side"))
-        found = found.unionAll(_scan(crossed, "list"))
-    second = verify(docs, classes, _near_enough(found.distinct(), classes))
+    found = _candidates(rooted, frequent)
+    second = verify(docs, classes, _near_enough(found, classes))
     return components(roots.where("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b")).unionAll(second))
 
 

@@ -87,3 +87,21 @@ def test_long_text_and_real_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     check(spark, rows + [(5000, "x " * 30000 + "y"), (5001, "x " * 30000 + "y z")])
+
+
+def test_pairs_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rows = made(13, 120, 40) + [(1, None), (2, "")]
+    sets = {}
+    for d, text in rows:
+        words = (text or "").split()
+        sets[d] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+    wanted = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    members, found = jaccard.pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    of = {}
+    for r in members.collect():
+        of.setdefault(r["class"], []).append(r.doc_id)
+    linked = {(min(x, y), max(x, y)) for r in found.collect() for x in of[r.a] for y in of[r.b]}
+    linked |= {(x, y) for ids in of.values() for x in ids for y in ids if x < y}
+    assert linked == wanted and len(found.collect()) == len({(r.a, r.b) for r in found.collect()})
