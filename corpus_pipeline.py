@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import jaccard, packing, quality, secrets, toxicity
-from quire.llm.common import stored
+from quire.llm.common import discard, scratch, stored
 from quire.llm.registry import vocabulary
 
 
@@ -55,8 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; what a stage leaves behind is deleted after it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    was = None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        kept: list[DataFrame] = []
+        with scratch(spark, kept):
+            kept.append(stored(stage(spark, docs, sf_dir)))
+        if was:
+            discard(was)
+        was = docs = kept[0]
     return STAGES[-1][1](spark, docs, sf_dir)
