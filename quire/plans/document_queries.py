@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import documents as D
@@ -15,7 +15,10 @@ from quire.plans.registry import query
 from quire.plans.review_queries import _PAIR_SQL, _STYLE_SQL, _both, _protected_sql
 from quire.sources import derived as S
 
-_S = F.col("doc_id") + F.col("ord")
+
+def _place() -> Column:
+    """The number by whose remainders blocks are told apart."""
+    return F.col("doc_id") + F.col("ord")
 
 
 @query(f"""WITH {S.ASSIGNED_SQL},
@@ -49,7 +52,7 @@ def reconciled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, hyp = _both(spark, sf_dir)
 
     def decide(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({"selected": F.col("theirs"), "decision_confidence": F.when(F.col("ord") % 4 == 0, 0.9).otherwise(0.97), "decision_unresolved": _S % 5 == 0, "visual": F.col("doc_id") % 2 == 0})
+        return rows.withColumns({"selected": F.col("theirs"), "decision_confidence": F.when(F.col("ord") % 4 == 0, 0.9).otherwise(0.97), "decision_unresolved": _place() % 5 == 0, "visual": F.col("doc_id") % 2 == 0})
 
     return D.reconciled(found, hyp, M.primary_to_verifier(found, hyp), decide, F.col("doc_id") % 41 == 0)
 
@@ -71,7 +74,7 @@ plan AS (SELECT p.doc_id, s.part, 0 AS seq, 'Normal' AS style, '' AS numbering,
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    kind = F.when((F.col("reading_order") == 0) & (d % 4 == 0), "HEADER").when(_S % 37 == 0, "PAGE_NUMBER").when(_S % 31 == 0, "NUMBERED_LIST").otherwise(F.col("block_type"))
+    kind = F.when((F.col("reading_order") == 0) & (d % 4 == 0), "HEADER").when(_place() % 37 == 0, "PAGE_NUMBER").when(_place() % 31 == 0, "NUMBERED_LIST").otherwise(F.col("block_type"))
     found = all_blocks(spark, sf_dir).withColumn("block_type", kind)
     pages = S.table(spark, sf_dir, "documents").where("text is not null").select("doc_id").distinct().select("doc_id", F.when(d % 41 == 0, "FAILED").otherwise("COMPLETED").alias("status"), F.when(d % 82 == 0, "no text").alias("error"))
     return D.rendered(found, pages)
@@ -155,7 +158,7 @@ def structural_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries of every third block, by instructions for three lines in four."""
     bounds = L.boundaries(L.members(S.lines(spark, sf_dir), S.regions(spark, sf_dir)))
     ln = F.col("ln")
-    told = bounds.where((_S % 3 == 0) & (ln % 4 != 1)).select("doc_id", "ord", ln.alias("after_line"), F.when(ln % 2 == 0, "NEW_PARAGRAPH").otherwise("SOFT_LINE_BREAK").alias("new_boundary"), F.lit(0.9).alias("new_confidence"))
+    told = bounds.where((_place() % 3 == 0) & (ln % 4 != 1)).select("doc_id", "ord", ln.alias("after_line"), F.when(ln % 2 == 0, "NEW_PARAGRAPH").otherwise("SOFT_LINE_BREAK").alias("new_boundary"), F.lit(0.9).alias("new_confidence"))
     return D.structured(bounds, told)
 
 
@@ -205,5 +208,5 @@ SELECT doc_id, count(*) AS n, md5(string_agg('<tr><td>' || ord || '</td><td>' ||
 def correction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of a page's correction report as escaped HTML: what was read, what stands now, who approved it and how sure."""
     human = F.struct(F.lit("Human review").alias("reason"), F.lit(1.0).alias("confidence"))
-    rows = all_blocks(spark, sf_dir).where(_S % 17 == 0).withColumns({"approved": F.concat("literal", F.lit(".")), "human": human, "automatic": F.lit(None).cast("struct<reason:string,confidence:double>")})
+    rows = all_blocks(spark, sf_dir).where(_place() % 17 == 0).withColumns({"approved": F.concat("literal", F.lit(".")), "human": human, "automatic": F.lit(None).cast("struct<reason:string,confidence:double>")})
     return O.correction_rows(R.corrections(rows))

@@ -87,3 +87,12 @@ def test_stored_tables_go_with_their_scratch(spark):
         first = stored(spark.range(5))
         kept.append(stored(first.where("id > 2")))
     assert not os.path.exists(first._stored_at) and sorted(r.id for r in kept[0].collect()) == [3, 4]
+
+
+def test_the_entry_needs_no_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"], cwd=root, check=True)
