@@ -119,7 +119,7 @@ def page_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l.doc_id, sha256(d.text) AS sha, l.quality FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL")
 def manifest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest pages beside the pages that they name, by number and source hash."""
+    """Manifest pages beside the pages that they name, by number, with the hash of their source; manifest_outcomes compares hashes."""
     docs = S.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     return S.table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "sha", "quality")
 
