@@ -26,11 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once and read back: what follows does not compute it again, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession) -> str:
+    """The path of a table to be written in the shared folder."""
+    path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
     for paths in _open:
         paths.append(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once and read back: what follows does not compute it again, and a lost executor costs no recomputation."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._stored_at = path
