@@ -65,8 +65,59 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_bpe, op4_secrets, op5_fingerprints, op6_topk, op7_quality, op8_html, op9_jaccard_join, op10_packing)}
 
 
+def _secrets_oracle() -> str:
+    """Op 4 in SQL: places by running sums over unnested pieces, links by a join of the parts of a text.
+
+    SQL's patterns fold letters beyond ASCII and know no look-around, so that cases are written out, and a weak access identifier
+    is a whole run of letters and digits.
+    """
+    cased = lambda words: "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words) + ")"
+    value = r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    kinds = [
+        ("assign", cased(["password", "passwd", "secret", "token", "api_?key"]) + value, 1),
+        ("access", r"AKIA[A-Z0-9]{14,}", 0),
+        ("hex", r"[0-9a-f]{16,}", 0),
+        ("weak_access", r"[A-Za-z0-9]*AKIA[A-Za-z0-9]*", 0),
+        ("user", cased(["client_?id", "access_?key_?id", "account_?id", "username", "user_?id", "login"]) + value, 1),
+        ("endpoint", r"(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\t\n\x0B\f\r\x20\"'<>]+", 0),
+    ]
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"SELECT r, '{kind}' AS kind, string_split_regex(t, {quoted(p)}) AS a, regexp_extract_all(t, {quoted(p)}) AS m, regexp_extract_all(t, {quoted(p)}, {group}) AS g FROM d" for kind, p, group in kinds
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+u AS (SELECT r, kind, generate_subscripts(m, 1) AS i, unnest(m) AS m, unnest(g) AS g, unnest(a[1:len(m)]) AS a FROM f WHERE len(m) > 0),
+placed AS (SELECT r, kind, m, length(g) AS n, sum(length(a) + length(m)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM u),
+p AS (
+  SELECT r, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, CASE WHEN kind = 'assign' AND n < 12 THEN 'weak_secret' ELSE kind END AS kind FROM placed
+  WHERE (kind <> 'assign' OR n >= 6) AND (kind <> 'weak_access' OR regexp_full_match(m, 'AKIA[A-Z0-9]{{8,13}}'))
+),
+beside AS (
+  SELECT p.r, p.s, p.e, p.kind, coalesce(bool_or(q.kind IN ('assign', 'weak_secret')), false) AS secret,
+         coalesce(bool_or(q.kind IN ('access', 'weak_access', 'user')), false) AS identifier, coalesce(bool_or(q.kind = 'endpoint'), false) AS endpoint
+  FROM p LEFT JOIN p q ON p.r = q.r AND q.s - p.e <= 300 AND p.s - q.e <= 300 GROUP BY p.r, p.s, p.e, p.kind
+),
+k AS (
+  SELECT r, s, e, kind, list_position(['assign', 'access', 'hex', 'weak_secret', 'weak_access', 'user', 'endpoint'], kind) AS o FROM beside
+  WHERE kind IN ('assign', 'access', 'hex') OR (kind = 'weak_secret' AND (identifier OR endpoint)) OR (kind IN ('weak_access', 'user') AND secret)
+     OR (kind = 'endpoint' AND secret AND identifier)
+),
+w AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, o, e) FILTER (o <= 3) AS base, string_agg(concat_ws(':', kind, s, e), ',' ORDER BY s, o, e) AS spans
+  FROM k GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN w USING (r)
+"""
+
+
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES = {
+    "op4_secrets": _secrets_oracle(),
     "op9_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
