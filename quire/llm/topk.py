@@ -6,7 +6,9 @@ the product of the remaining norms (no remaining inner product is larger, by Cau
 score, and the survivors are compacted. The first few candidates of a task are scored in full to have a bound.
 
 Queries are a stated set. They go to the tasks in chunks of at most CHUNK vectors, which bounds what is broadcast; candidates
-are never moved. Each task keeps k rows a query and chunk, merged by a window.
+are never moved. Each task keeps k rows a query and chunk, merged by a window. Beyond one chunk, each chunk's result is written to
+the shared folder and its broadcast destroyed before the next, so that the driver holds one chunk and a plan one scan, however many
+queries there are. A chunk's scan costs little beside its products: thousands for each component read.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part. Rows with the query's own id
 are not its candidates; repeated rows of another id are each a candidate, and rank side by side. Of several vectors with one
@@ -19,12 +21,16 @@ than k candidates all are returned. Columns of any other name may be there.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.storage import new_path
+
 SCALE = 1024
 K = 10
 #: Queries in a chunk: 4096 vectors of 64 components take 2 MB.
@@ -127,28 +133,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCAL
     """query_id, rank, vec_id, score: for each row of `queries` the k rows of `vectors` with the greatest inner product."""
     spark = vectors.sparkSession
     asked = integers(queries, scale).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
-    found: DataFrame | None = None
-    chunk: list = []
-    parts: list[DataFrame] = []
-    for row in asked.toLocalIterator():
-        chunk.append((row.query_id, row.v))
-        if len(chunk) == CHUNK:
-            parts.append(_chunk(vectors, chunk, k, scale))
-            chunk = []
-    if chunk or not parts:
-        parts.append(_chunk(vectors, chunk, k, scale))
-    for part in parts:
-        found = part if found is None else found.unionAll(part)
+    rows = ((r.query_id, r.v) for r in asked.toLocalIterator())
+    chunk = list(islice(rows, CHUNK))
+    after = list(islice(rows, CHUNK))
+    if not after:
+        return _ranked(_chunk(vectors, spark.sparkContext.broadcast(_by_length(chunk)), scale, k), k)
+    folder = new_path(spark)
+    number = 0
+    while chunk:
+        sent = spark.sparkContext.broadcast(_by_length(chunk))
+        part = _ranked(_chunk(vectors, sent, scale, k), k)
+        part.write.parquet(f"{folder}/chunk={number}")
+        sent.destroy()
+        number += 1
+        chunk, after = after, list(islice(rows, CHUNK))
+    return spark.read.schema(part.schema).parquet(folder).select(part.columns)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The best k of all tasks, for each query."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _chunk(vectors: DataFrame, chunk: list, k: int, scale: int) -> DataFrame:
-    """The best k of each task for the queries of a chunk."""
-    by_length: dict[int, list] = {}
+def _by_length(chunk: list) -> dict[int, list]:
+    """The queries of a chunk by the length of their vectors."""
+    found: dict[int, list] = {}
     for q, v in sorted(chunk):
-        by_length.setdefault(len(v), []).append((q, np.asarray(v, dtype=np.float64)))
-    sent = vectors.sparkSession.sparkContext.broadcast(by_length)
+        found.setdefault(len(v), []).append((q, np.asarray(v, dtype=np.float64)))
+    return found
+
+
+def _chunk(vectors: DataFrame, sent: Broadcast, scale: int, k: int) -> DataFrame:
+    """The best k of each task for the queries of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
