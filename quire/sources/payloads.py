@@ -94,6 +94,14 @@ def cloud_blocks(pages: DataFrame) -> DataFrame:
     return read.select("doc_id", "page", F.posexplode(found).alias("ord", "k")).select("doc_id", "page", "ord", "k.block_type", "k.text", "k.b.*", "k.confidence", "k.rows", "k.columns")
 
 
+def cloud_cells(pages: DataFrame) -> DataFrame:
+    """doc_id, page, table, row, column, row_span, column_span, text: the cells of the tables of a cloud payload; a span that is not named is 1."""
+    tables = pages.select("doc_id", "page", F.posexplode(parsed(F.col("payload"), _CLOUD)["tables"]).alias("table", "t"))
+    cells = tables.select("doc_id", "page", "table", F.explode("t.cells").alias("c"))
+    span = lambda name: F.greatest(F.coalesce(F.col(f"c.{name}"), F.lit(1)), F.lit(1)).alias(name)
+    return cells.select("doc_id", "page", "table", "c.row", "c.column", span("row_span"), span("column_span"), F.coalesce("c.content", F.lit("")).alias("text"))
+
+
 def desktop_lines(pages: DataFrame) -> DataFrame:
     """Desktop OCR records: a line's box is around its words' rectangles of four numbers, else the page; its confidence is unknown and counts as 0.5. Exactly one record a page."""
     schema = "records array<struct<lines:array<struct<text:string,words:array<struct<bounding_rect:array<double>>>>>>>"
@@ -133,6 +141,11 @@ def documents_or_none(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], DOCUMENT)
 
 
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Canonical documents as JSON, a file each, nulls written out; readers see all of a write or nothing."""
+    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).option("ignoreNullFields", False).json(path)
+
+
 def write_pages(pages: DataFrame, path: str) -> None:
     """Page checkpoints, a folder a document: a page is replaced whole, and readers see either all of a write or nothing. Ids must be plain names."""
     safe = F.when(F.col("doc_id").cast("string").rlike("^[A-Za-z0-9_-]+$"), F.col("doc_id")).otherwise(F.raise_error(F.lit("unsafe id")).cast(pages.schema["doc_id"].dataType))
