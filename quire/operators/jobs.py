@@ -57,6 +57,28 @@ def approval_gates() -> list[Gate]:
     ]
 
 
+def benchmark_admission(documents: DataFrame, pages: DataFrame, required: DataFrame) -> DataFrame:
+    """doc, code, reason, missing: whether a benchmark may be made of a document - one for evaluation only that has all required pages.
+
+    documents: doc, classification; pages: doc, page; required: page, a short list. missing: how many of them a document lacks.
+    """
+    wanted = required.select("page").distinct()
+    n = wanted.count()
+    had = pages.select("doc", "page").distinct().join(F.broadcast(wanted), "page", "left_semi").groupBy("doc").agg(F.count("*").alias("had"))
+    counted = documents.join(had, "doc", "left").withColumn("missing", F.lit(n).cast("long") - F.coalesce("had", F.lit(0)))
+    gates = [(F.col("classification") != "EVALUATION_ONLY", 409, "not for evaluation only"), (F.col("missing") > 0, 409, "pages are missing")]
+    return counted.withColumn("o", outcome(gates)).select("doc", "o.code", "o.reason", "missing")
+
+
+def queued(queue: DataFrame, pages: DataFrame) -> DataFrame:
+    """A review queue (doc_id and reasons as booleans) with the failed pages (doc_id, failed), which have no blocks to be queued for."""
+    reasons = [c for c in queue.columns if c != "doc_id"]
+    failed = pages.where("failed").select("doc_id").distinct().withColumn("failed", F.lit(True))
+    no = F.lit(False)
+    joined = queue.join(failed, "doc_id", "full").select("doc_id", *[F.coalesce(c, no).alias(c) for c in reasons], F.coalesce("failed", no).alias("failed"))
+    return joined.where(F.greatest("failed", *reasons))
+
+
 def to_resume(requested: DataFrame, done: DataFrame, sources: DataFrame) -> DataFrame:
     """job, page, action of the pages asked for: process, skip (a checkpoint has it), or refuse, where the job's source has changed.
 

@@ -23,6 +23,9 @@ STYLES = {
     "UNKNOWN": "OCR Unknown",
 }
 POINTS = {"SMALL": 10, "NORMAL": 12, "MEDIUM": 14, "LARGE": 17, "EXTRA_LARGE": 22}
+ALIGNMENTS = ["RIGHT", "LEFT", "CENTER", "JUSTIFY"]
+#: What a paragraph takes from its block's formatting as it is; null inherits from the style.
+INHERITED = ["space_before_pt", "space_after_pt", "left_indent_pt", "right_indent_pt", "keep_with_next", "bold"]
 
 
 def _lookup(names: dict, key: Column) -> Column:
@@ -44,6 +47,17 @@ def instructed(blocks: DataFrame, instructions: DataFrame) -> DataFrame:
     return joined.withColumn("block_type", F.coalesce("new_type", "block_type")).withColumn("points", points_of(F.col("size"))).drop("new_type")
 
 
+def formatted(blocks: DataFrame, formatting: DataFrame) -> DataFrame:
+    """doc_id, ord, style, alignment, points and INHERITED of every block. formatting: doc_id, ord, alignment, size and any of INHERITED.
+
+    What is null, or no alignment or size that there is, inherits from the style; so does all of a block without formatting.
+    """
+    known = [c for c in INHERITED if c in formatting.columns]
+    joined = blocks.select("doc_id", "ord", "block_type").join(formatting.select("doc_id", "ord", "alignment", "size", *known), ["doc_id", "ord"], "left")
+    alignment = F.when(F.col("alignment").isin(ALIGNMENTS), F.col("alignment"))
+    return joined.select("doc_id", "ord", style_of(F.col("block_type")).alias("style"), alignment.alias("alignment"), points_of(F.col("size")).alias("points"), *known)
+
+
 def placed(cells: DataFrame) -> DataFrame:
     """Cells (rows, columns, row, column, row_span, column_span) that lie in their table, with the last row and column of their span cut to it; the first row is the header."""
     held = cells.where("row < rows and column < columns")

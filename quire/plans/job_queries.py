@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quire.operators import jobs as J
 from quire.operators import metrics as E
+from quire.operators import report as O
 from quire.operators import review as R
 from quire.plans.layout_queries import all_blocks
 from quire.plans.metric_queries import page_metric_bundle
 from quire.plans.registry import query
-from quire.plans.review_queries import _PAIR_SQL, _with_verifier
+from quire.plans.review_queries import _PAIR_SQL, _STYLE_SQL, _with_verifier
 from quire.sources import demo, providers
 from quire.sources import derived as S
 from quire.sources import payloads as P
@@ -267,3 +268,36 @@ def macro_metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = ["missing", "hallucinated"]
     pages = page_metric_bundle(spark, sf_dir)
     return E.macro(pages, [c for c in pages.columns if c not in ("doc_id", *sums)], sums)
+
+
+@query(f"""WITH {S.BLOCKS_SQL}, k AS (SELECT doc_id, ord, {_STYLE_SQL} AS style, (doc_id + ord) % 3 = 0 AS told FROM blocks)
+SELECT doc_id, ord, style, CASE WHEN told AND ord % 5 < 4 THEN ['RIGHT', 'LEFT', 'CENTER', 'JUSTIFY'][CAST(ord % 5 + 1 AS INTEGER)] END AS alignment, CAST(CASE WHEN told AND ord % 2 = 0 THEN 17 END AS INTEGER) AS points, CASE WHEN told THEN 6.0E0 END AS space_after_pt, CASE WHEN told THEN ord % 7 = 0 END AS bold FROM k""")
+def formatting_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What paragraphs take from the formatting of their blocks, which every third has; some name an alignment that there is not."""
+    found = all_blocks(spark, sf_dir)
+    ord_ = F.col("ord")
+    names = F.array(*map(F.lit, [*O.ALIGNMENTS, "SIDEWAYS"]))
+    told = found.where((F.col("doc_id") + ord_) % 3 == 0).select("doc_id", "ord", F.element_at(names, (ord_ % 5 + 1).cast("int")).alias("alignment"), F.when(ord_ % 2 == 0, "LARGE").alias("size"), F.lit(6.0).alias("space_after_pt"), (ord_ % 7 == 0).alias("bold"))
+    return O.formatted(found, told)
+
+
+@query(f"""WITH {S.BLOCKS_SQL}, page AS (SELECT doc_id, bool_or(unresolved OR confidence < 0.7E0) AS low_confidence, bool_or(regexp_matches(literal, '[A-z]')) AS english, bool_or(block_type = 'TABLE') AS has_table FROM blocks WHERE doc_id % 41 <> 0 GROUP BY doc_id)
+SELECT *, FALSE AS failed FROM page WHERE low_confidence OR english OR has_table UNION ALL SELECT DISTINCT doc_id, FALSE, FALSE, FALSE, TRUE FROM documents WHERE doc_id % 41 = 0""")
+def review_queue_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to be looked at; every forty-first has failed and has no blocks."""
+    d = F.col("doc_id")
+    pages = S.table(spark, sf_dir, "documents").select("doc_id", (d % 41 == 0).alias("failed"))
+    return J.queued(R.review_queue(all_blocks(spark, sf_dir).where(d % 41 != 0)), pages)
+
+
+_REQUIRED_SQL = "(VALUES " + ", ".join(f"({n})" for n, _ in R.BENCHMARK_PAGES) + ") r(page)"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT user_id AS doc, event_id % 200 AS page FROM events), n AS (SELECT doc, count(*) AS had FROM p WHERE page IN (SELECT page FROM {_REQUIRED_SQL}) GROUP BY doc),
+k AS (SELECT d.doc, d.doc % 4 = 1 AS public, {len(R.BENCHMARK_PAGES)} - coalesce(n.had, 0) AS missing FROM (SELECT DISTINCT user_id AS doc FROM events) d LEFT JOIN n ON d.doc = n.doc)
+SELECT doc, CAST(CASE WHEN public OR missing > 0 THEN 409 ELSE 200 END AS INTEGER) AS code, CASE WHEN public THEN 'not for evaluation only' WHEN missing > 0 THEN 'pages are missing' END AS reason, CAST(missing AS BIGINT) AS missing FROM k""")
+def benchmark_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a benchmark may be made of each document (a user's events are its pages); every fourth is public."""
+    pages = S.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), (F.col("event_id") % 200).alias("page"))
+    documents = pages.select("doc").distinct().withColumn("classification", F.when(F.col("doc") % 4 == 1, "PUBLIC").otherwise("EVALUATION_ONLY"))
+    return J.benchmark_admission(documents, pages, spark.createDataFrame(R.BENCHMARK_PAGES, "page long, category string"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from quire.operators import jobs as J
+from quire.operators import report as O
 from quire.sources import payloads as P
 from quire.sources import providers as V
 from quire.sources.demo import demo_document
@@ -132,3 +133,23 @@ def test_demo_document_comes_back(spark, tmp_path):
     back = P.documents(spark, str(tmp_path / "docs")).orderBy("id").collect()
     assert [r["id"] for r in back] == ["demo", "other"]
     assert back[0] == made.first()
+
+
+def test_benchmark_admission(spark):
+    documents = spark.createDataFrame([(1, "EVALUATION_ONLY"), (2, "EVALUATION_ONLY"), (3, "PUBLIC"), (4, "EVALUATION_ONLY")], "doc int, classification string")
+    pages = spark.createDataFrame([(1, 5), (1, 6), (1, 6), (2, 5), (3, 5), (3, 6)], "doc int, page int")
+    required = spark.createDataFrame([(5,), (6,)], "page int")
+    found = {tuple(r) for r in J.benchmark_admission(documents, pages, required).collect()}
+    assert found == {(1, 200, None, 0), (2, 409, "pages are missing", 1), (3, 409, "not for evaluation only", 0), (4, 409, "pages are missing", 2)}
+
+
+def test_failed_pages_are_queued(spark):
+    queue = spark.createDataFrame([(1, True, False), (2, False, False), (3, False, True)], "doc_id int, a boolean, b boolean")
+    pages = spark.createDataFrame([(2, False), (3, True), (4, True), (4, True), (5, None)], "doc_id int, failed boolean")
+    assert {tuple(r) for r in J.queued(queue, pages).collect()} == {(1, True, False, False), (3, False, True, True), (4, False, False, True)}
+
+
+def test_formatting_that_is_null_inherits(spark):
+    blocks = spark.createDataFrame([(1, 1, "CAPTION"), (1, 2, "TABLE"), (1, 3, "TABLE")], "doc_id int, ord int, block_type string")
+    told = spark.createDataFrame([(1, 1, "LEFT", "SMALL", True), (1, 2, "sideways", "huge", None), (9, 9, "LEFT", "SMALL", True)], "doc_id int, ord int, alignment string, size string, bold boolean")
+    assert {tuple(r) for r in O.formatted(blocks, told).collect()} == {(1, 1, "OCR Caption", "LEFT", 10, True), (1, 2, "Normal", None, None, None), (1, 3, "Normal", None, None, None)}
